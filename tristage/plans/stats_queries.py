@@ -1 +1,266 @@
-"""..."""
+"""Cluster bootstrap, verdicts, confounding, paired and resolution tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tristage.operators import metrics as M
+from tristage.operators import stats as S
+from tristage.plans.bindings import DOC_SCORES_SQL, LINES_SQL, LINE_SCORES_SQL, VECTOR_SCORES_SQL
+from tristage.plans.metric_queries import ap_sql, top_sql
+from tristage.plans.registry import query
+
+N_BOOT = 100
+SEEDS = [20260930, 20270937]
+
+
+def _boot_sql(seeds) -> str:
+    seeds = ", ".join(str(s) for s in seeds)
+    return f"""WITH {DOC_SCORES_SQL}, g AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS idx FROM (SELECT DISTINCT grp FROM sc)),
+    ng AS (SELECT count(*) AS n FROM g),
+    dr AS (SELECT seed, rep, (('0x' || substr(sha256(seed || ':' || rep || ':' || idx), 1, 16))::UBIGINT % n)::BIGINT AS idx
+      FROM g, ng, (SELECT unnest(range({N_BOOT})) AS rep), (SELECT unnest([{seeds}]) AS seed)),
+    mu AS (SELECT seed, rep, idx, count(*) AS mult FROM dr GROUP BY ALL),
+    w AS (SELECT seed, rep, sc.id, sc.y, sc.score, mult FROM mu JOIN g ON g.idx = mu.idx JOIN sc ON sc.grp = g.grp),
+    c AS (SELECT seed, rep, score, sum(y * mult) AS pos, sum(mult) AS n FROM w GROUP BY ALL),
+    r AS (SELECT *, sum(pos) OVER x AS tp, sum(n) OVER x AS pred, sum(pos) OVER p AS pt, sum(n) OVER p AS nt FROM c
+      WINDOW x AS (PARTITION BY seed, rep ORDER BY score DESC ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY seed, rep)),
+    a AS (SELECT seed, rep, max(pt) / max(nt) AS base, (sum(pos * tp / pred) / max(pt)) / (max(pt) / max(nt)) AS pr_auc_over_base
+      FROM r GROUP BY ALL HAVING max(pt) > 0 AND max(pt) < max(nt)),
+    t0 AS (SELECT *, coalesce(sum(mult) OVER (PARTITION BY seed, rep ORDER BY score DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM w),
+    t1 AS (SELECT seed, rep, sum(greatest(0, least(mult, 100 - bef))) AS taken, sum(greatest(0, least(mult, 100 - bef)) * y) AS hits FROM t0 GROUP BY ALL),
+    draws AS (SELECT a.seed, a.rep, pr_auc_over_base, CASE WHEN taken = 100 THEN hits / 100 END / base AS lift
+      FROM a JOIN t1 ON a.seed = t1.seed AND a.rep = t1.rep)"""
+
+
+@query("seed:i rep:i pr_auc_over_base:d lift:d", _boot_sql(SEEDS[:1]) + " SELECT * FROM draws")
+def bootstrap_draws(t):
+    return S.cluster_bootstrap(t.doc_scores(), "grp", N_BOOT, SEEDS[:1])
+
+
+_CI_SQL = _boot_sql(SEEDS) + """, ci AS (SELECT seed, quantile_cont(pr_auc_over_base, 0.025) AS lo,
+      quantile_cont(pr_auc_over_base, 0.975) AS hi, count(*) AS n_draws FROM draws GROUP BY seed)"""
+
+
+def doc_cis(t):
+    return S.percentile_ci(S.cluster_bootstrap(t.doc_scores(), "grp", N_BOOT, SEEDS), ["seed"])
+
+
+@query("seed:i lo:d hi:d n_draws:i", _CI_SQL + " SELECT * FROM ci")
+def bootstrap_intervals(t):
+    return doc_cis(t)
+
+
+@query(
+    "point:d lo:d hi:d stable:b crosses_1:b effect_class:s n_seeds:i",
+    _CI_SQL + f""", {ap_sql('sc', [])}, s AS (SELECT count(*) AS n_seeds,
+      count(DISTINCT CASE WHEN lo > 1 THEN 'pos' WHEN hi < 1 THEN 'neg' ELSE 'cross' END) = 1 AS stable FROM ci),
+    z AS (SELECT pr_auc_over_base AS point, lo, hi, stable, n_seeds, lo <= 1 AND hi >= 1 AS crosses_1 FROM ap, s, ci WHERE seed = {SEEDS[0]})
+    SELECT *, CASE WHEN NOT stable OR crosses_1 THEN 'indistinguishable' WHEN hi < 1 THEN 'reversed'
+      WHEN point >= 1.1 THEN 'real' ELSE 'weak' END AS effect_class FROM z""",
+)
+def bootstrap_verdict(t):
+    """Point estimate, interval of the first seed, agreement over seeds, and the effect class."""
+    cis = doc_cis(t)
+    stable = S.seed_stability(cis, [])
+    point = M.average_precision(t.doc_scores(), []).select(F.col("pr_auc_over_base").alias("point"))
+    # One row each.
+    first = cis.where(F.col("seed") == SEEDS[0]).select("lo", "hi")
+    return S.classify(first.join(F.broadcast(stable)).join(F.broadcast(point)))
+
+
+# Analytic intervals stand in for bootstrapped ones: what follows only reads (point, lo, hi, stable).
+def _interval_sql(name: str, src: str, by: str, tag: str, width: float) -> str:
+    return f"""{ap_sql(src, [by], tag)}, {name}0 AS (SELECT {by} AS fold, pr_auc_over_base AS point,
+        pr_auc_over_base - {width} / sqrt(n_positive) AS lo, pr_auc_over_base + {width} / sqrt(n_positive) AS hi FROM {tag}),
+      {name} AS (SELECT *, lo <= 1 AND hi >= 1 AS crosses_1, CASE WHEN lo <= 1 AND hi >= 1 THEN 'indistinguishable'
+        WHEN hi < 1 THEN 'reversed' WHEN point >= 1.02 THEN 'real' ELSE 'weak' END AS cls FROM {name}0)"""
+
+
+_TWO_SQL = (
+    f"WITH {LINE_SCORES_SQL}, sb AS (SELECT center, y, -score AS score FROM sc), "
+    + _interval_sql("m", "sc", "center", "pa", 0.4) + ", " + _interval_sql("k", "sb", "center", "pb", 0.9)
+)
+
+
+def _intervals(scores, width):
+    ap = M.average_precision(scores, ["center"])
+    half = F.lit(width) / F.sqrt("n_positive")
+    p = F.col("pr_auc_over_base")
+    table = ap.select(
+        F.col("center").alias("fold"), p.alias("point"), (p - half).alias("lo"), (p + half).alias("hi"),
+        F.lit(True).alias("stable"),
+    )
+    return S.classify(table, real_from=1.02)
+
+
+def two_runs(t):
+    scores = t.line_scores()
+    return _intervals(scores, 0.4), _intervals(scores.withColumn("score", -F.col("score")), 0.9)
+
+
+@query(
+    "fold:s point:d lo:d hi:d effect_class:s",
+    _TWO_SQL + """ SELECT m.fold, m.point, m.lo, m.hi, CASE WHEN m.cls = 'real' AND k.crosses_1 THEN 'borderline'
+      ELSE m.cls END AS effect_class FROM m JOIN k ON m.fold = k.fold""",
+)
+def robustness_downgrade(t):
+    main, counterpart = two_runs(t)
+    return S.downgrade(main, counterpart, ["fold"])
+
+
+@query(
+    "n_folds:i n_clear:i n_pass:i",
+    _TWO_SQL + """, j AS (SELECT m.*, NOT m.crosses_1 AND m.point >= 1 AND NOT (m.cls = 'real' AND k.crosses_1) AS clear
+      FROM m JOIN k ON m.fold = k.fold)
+    SELECT count(*) AS n_folds, sum(clear::INT) AS n_clear, sum((clear AND point >= 1.01)::INT) AS n_pass FROM j""",
+)
+def two_condition_claim(t):
+    main, counterpart = two_runs(t)
+    return S.claim(main, counterpart, ["fold"], 1.01)
+
+
+@query(
+    "fold:s direction_a:s magnitude_a:d direction_b:s magnitude_b:d opposite:b",
+    _TWO_SQL + """, d AS (SELECT m.fold, CASE WHEN m.lo > 1 THEN '+' WHEN m.hi < 1 THEN '-' ELSE '0' END AS direction_a, m.point - 1 AS magnitude_a,
+      CASE WHEN k.lo > 1 THEN '+' WHEN k.hi < 1 THEN '-' ELSE '0' END AS direction_b, k.point - 1 AS magnitude_b FROM m JOIN k ON m.fold = k.fold)
+    SELECT *, direction_a <> direction_b AND direction_a <> '0' AND direction_b <> '0' AS opposite FROM d""",
+)
+def direction_of_two_tasks(t):
+    return S.direction_table(*two_runs(t), ["fold"])
+
+
+# ---------------------------------------------------------------- confounding
+
+
+def _auc_sql(src: str, by: str | None, name: str) -> str:
+    col, part = (f"{by}, ", f"PARTITION BY {by} ") if by else ("", "")
+    group = f"GROUP BY {by}" if by else ""
+    return f"""{name}_k AS (SELECT *, rank() OVER ({part}ORDER BY v) + (count(*) OVER (PARTITION BY {col}v) - 1) / 2 AS rk FROM {src}),
+    {name} AS (SELECT {col}sum(y) AS n_pos, sum(1 - y) AS n_neg,
+      (sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * sum(1 - y), 0) AS rank_auc FROM {name}_k {group})"""
+
+
+_V = f"WITH {LINES_SQL}, src AS (SELECT center, y, price AS v FROM lines)"
+
+
+@query(
+    "center:s n_pos:i n_neg:i rank_auc:d", _V + ", " + _auc_sql("src", "center", "a") + " SELECT * FROM a"
+)
+def rank_auc_by_center(t):
+    return S.rank_auc(t.lines(), "price", "y", ["center"])
+
+
+@query(
+    "pooled:d n_strata:i within_median:d within_min:d within_max:d reversed:b",
+    _V.replace("price AS v", "seq_len AS v") + ", " + _auc_sql("src", "center", "a") + ", " + _auc_sql("src", None, "p")
+    + """, w AS (SELECT count(*) AS n_strata, median(rank_auc) AS within_median, min(rank_auc) AS within_min, max(rank_auc) AS within_max
+      FROM a WHERE n_pos >= 300 AND n_neg >= 300)
+    SELECT p.rank_auc AS pooled, w.*, coalesce((p.rank_auc - 0.5) * (within_median - 0.5) < 0, false) AS reversed FROM p, w""",
+)
+def simpson_reversal(t):
+    return S.simpson_check(t.lines(), "seq_len", "y", "center")
+
+
+@query(
+    "center:s n_exposed:i n_unexposed:i rate_exposed:d rate_unexposed:d risk_diff:d risk_ratio:d",
+    f"""WITH {LINES_SQL}, a AS (SELECT center, sum(exposed::INT) AS n_exposed, sum((NOT exposed)::INT) AS n_unexposed,
+      avg((label_stable = 0)::INT) FILTER (exposed) AS rate_exposed, avg((label_stable = 0)::INT) FILTER (NOT exposed) AS rate_unexposed
+      FROM (SELECT *, CASE WHEN label_stable = -1 AND label_purify = 1 THEN 1 ELSE label_stable END AS ls FROM lines) WHERE ls <> -1 GROUP BY center)
+    SELECT *, rate_exposed - rate_unexposed AS risk_diff, rate_exposed / nullif(rate_unexposed, 0) AS risk_ratio
+    FROM a WHERE n_exposed >= 300 AND n_unexposed >= 300""",
+)
+def risk_ratio_by_center(t):
+    """Exposure against failure of the stage after purification, among purified records."""
+    outcome = F.when((F.col("label_stable") == -1) & (F.col("label_purify") == 1), 1).otherwise(F.col("label_stable"))
+    return S.risk_ratio(t.lines().withColumn("outcome", outcome), "exposed", "outcome", ["center"])
+
+
+@query(
+    "center:s exposure_rate:d n:i",
+    f"""WITH {LINES_SQL} SELECT center, avg(exposed::INT) AS exposure_rate, count(*) AS n FROM lines GROUP BY center
+    HAVING count(*) >= 1000 AND avg(exposed::INT) > 0.05 AND avg(exposed::INT) < 0.95""",
+)
+def mixed_exposure_centers(t):
+    rate = t.lines().groupBy("center").agg(
+        F.avg(F.col("exposed").cast("int")).alias("exposure_rate"), F.count("*").alias("n")
+    )
+    return rate.where("n >= 1000 and exposure_rate > 0.05 and exposure_rate < 0.95")
+
+
+@query(
+    "tier:s n_exposed:i fail_exposed:i rate_exposed:d n_unexposed:i fail_unexposed:i rate_unexposed:d risk_ratio:d sufficient:b verdict:s",
+    f"""WITH {LINES_SQL}, f AS (SELECT tier, sum(exposed::INT) AS fe, sum((NOT exposed)::INT) AS fu FROM lines WHERE label_stable = 0 GROUP BY tier),
+    p AS (SELECT sum(exposed::INT) AS pe, sum((NOT exposed)::INT) AS pu FROM lines WHERE label_purify = 1 AND label_stable <> 0),
+    x AS (SELECT tier, fe + pe AS n_exposed, fe AS fail_exposed, fe / (fe + pe) AS rate_exposed, fu + pu AS n_unexposed,
+      fu AS fail_unexposed, fu / (fu + pu) AS rate_unexposed FROM f, p)
+    SELECT *, rate_exposed / rate_unexposed AS risk_ratio, n_exposed >= 100 AND n_unexposed >= 100 AND fail_exposed >= 20 AND fail_unexposed >= 20 AS sufficient,
+      CASE WHEN n_exposed >= 100 AND n_unexposed >= 100 AND fail_exposed >= 20 AND fail_unexposed >= 20 THEN 'TESTABLE' ELSE 'UNRESOLVED' END AS verdict FROM x""",
+)
+def tier_adjudication(t):
+    outcome = F.when((F.col("label_stable") == -1) & (F.col("label_purify") == 1), 1).otherwise(F.col("label_stable"))
+    return S.adjudicate(t.lines().withColumn("outcome", outcome), "tier", "exposed", "outcome")
+
+
+@query(
+    "id:i",
+    f"WITH {DOC_SCORES_SQL} SELECT id FROM sc WHERE y = 1 AND toxic = 1 AND (SELECT count(*) FROM sc WHERE y = 1 AND toxic = 1) <= 50",
+)
+def listed_when_few(t):
+    return S.listed_if_few(t.doc_scores().where("y = 1 and toxic = 1"))
+
+
+# ---------------------------------------------------------------- paired and resolution tests
+
+
+@query(
+    "n:i mean_shift:d std_shift:d abs_mean:d frac_up:d frac_gt_05:d frac_gt_10:d median_shift:d w_statistic:d z:d wilcoxon_p:d",
+    """WITH d AS (SELECT l_tax - l_discount AS d FROM lineitem),
+    b AS (SELECT count(*) AS n, avg(d) AS mean_shift, stddev_pop(d) AS std_shift, avg(abs(d)) AS abs_mean, avg((d > 0)::INT) AS frac_up,
+      avg((abs(d) > 0.05)::INT) AS frac_gt_05, avg((abs(d) > 0.10)::INT) AS frac_gt_10, quantile_cont(d, 0.5) AS median_shift FROM d),
+    k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS rk FROM d WHERE d <> 0),
+    ti AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM k GROUP BY abs(d))),
+    s AS (SELECT count(*)::DOUBLE AS m, least(sum(rk) FILTER (d > 0), sum(rk) FILTER (d < 0)) AS w FROM k),
+    z AS (SELECT w AS w_statistic, (w - m * (m + 1) / 4) / sqrt((m * (m + 1) * (2 * m + 1) - ties / 2) / 24) AS z FROM s, ti),
+    p AS (SELECT least(1.0, 2 * sum(CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+        * exp(-((abs(z) + i * 0.003) ** 2) / 2)) * 0.003 / 3 / sqrt(2 * pi())) AS wilcoxon_p
+      FROM z, (SELECT unnest(range(4001)) AS i))
+    SELECT * FROM b, z, p""",
+)
+def paired_score_shift(t):
+    pairs = t("lineitem").select(F.col("l_discount").alias("a"), F.col("l_tax").alias("b"))
+    return S.paired_shift(pairs)
+
+
+_LNC = "lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1)"
+
+
+@query(
+    "center:s n_rows:i n_positive:i observed:i expected:d p_at_most:d lift_at_500:d",
+    f"""WITH {LINE_SCORES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY center ORDER BY score DESC, id) AS rk FROM sc),
+    q AS (SELECT center, count(*) AS n_rows, sum(y) AS n_positive, sum(y) FILTER (rk <= 100) AS observed,
+      (CASE WHEN count(*) >= 500 THEN sum(y) FILTER (rk <= 500) / 500 END) / (sum(y) / count(*)) AS lift_at_500 FROM r GROUP BY center),
+    p AS (SELECT center, sum(exp({_LNC.format(n='n_positive', k='i')} + {_LNC.format(n='(n_rows - n_positive)', k='(100 - i)')}
+        - ({_LNC.format(n='n_rows', k='100')}))) AS p_at_most
+      FROM q, (SELECT unnest(range(101)) AS i) WHERE i <= observed AND 100 - i <= n_rows - n_positive GROUP BY center)
+    SELECT q.*, 100.0 * n_positive / n_rows AS expected, p_at_most FROM q JOIN p ON p.center = q.center WHERE n_rows >= 100""",
+)
+def resolution_at_100(t):
+    at = M.precision_recall_at_k(t.line_scores(), (100, 500), ["center"])
+    top = at.select(
+        "center", "n_rows", "n_positive", F.round(F.col("precision_at_100") * 100).cast("int").alias("observed"), "lift_at_500"
+    )
+    return S.resolution_check(top)
+
+
+@query(
+    "n_cells:i mean_change:d n_down:i max_abs_change:d",
+    f"""WITH {LINE_SCORES_SQL}, sb AS (SELECT year, y, -score AS score FROM sc), {ap_sql('sc', ['year'], 'pa')}, {ap_sql('sb', ['year'], 'pb')},
+    j AS (SELECT (pb.pr_auc - pa.pr_auc) / pa.pr_auc AS c FROM pa JOIN pb ON pa.year = pb.year)
+    SELECT count(*) AS n_cells, avg(c) AS mean_change, sum((c < 0)::INT) AS n_down, max(abs(c)) AS max_abs_change FROM j""",
+)
+def ablation_difference(t):
+    scores = t.line_scores()
+    first = M.average_precision(scores, ["year"])
+    second = M.average_precision(scores.withColumn("score", -F.col("score")), ["year"])
+    return S.ablation_diff(first, second, ["year"], "pr_auc")
