@@ -29,12 +29,6 @@ def cells(scores: DataFrame, by: list[str], weight: Column | None = None) -> Dat
     )
 
 
-def totals(scores_or_cells: DataFrame, by: list[str]) -> DataFrame:
-    return scores_or_cells.groupBy(*by).agg(
-        F.sum("n").alias("n_rows"), F.sum("pos").alias("n_positive")
-    )
-
-
 def thresholds(cell_table: DataFrame, by: list[str]) -> DataFrame:
     """Precision and recall at every distinct score, predicting positive at or above it.
 
@@ -43,17 +37,17 @@ def thresholds(cell_table: DataFrame, by: list[str]) -> DataFrame:
     if "_bucket" not in cell_table.columns:
         cell_table = with_buckets(cell_table, by, "score")
     ranked = running_in_buckets(cell_table, by, "score", ["pos", "n"], descending=True)
-    return _on(ranked, totals(cell_table, by), by).select(
+    return ranked.select(
         *by,
         "score",
         "pos",
         "n",
         F.col("cum_pos").alias("tp"),
         F.col("cum_n").alias("predicted"),
-        "n_rows",
-        "n_positive",
+        F.col("total_n").alias("n_rows"),
+        F.col("total_pos").alias("n_positive"),
         (F.col("cum_pos") / F.col("cum_n")).alias("precision"),
-        F.try_divide(F.col("cum_pos"), F.col("n_positive")).alias("recall"),
+        F.try_divide(F.col("cum_pos"), F.col("total_pos")).alias("recall"),
     )
 
 
@@ -61,11 +55,13 @@ def _ap(pos: Column, precision: Column) -> Column:
     return F.try_divide(F.sum(pos * precision), F.max("n_positive"))
 
 
-def average_precision(
-    scores: DataFrame, by: list[str], weight: Column | None = None
-) -> DataFrame:
+def average_precision(scores: DataFrame, by: list[str]) -> DataFrame:
     """n_rows, n_positive, base_rate, pr_auc, pr_auc_over_base per group; ties share a threshold."""
-    t = thresholds(cells(scores, by, weight), by)
+    return average_precision_of(cells(scores, by), by)
+
+
+def average_precision_of(cell_table: DataFrame, by: list[str]) -> DataFrame:
+    t = thresholds(cell_table, by)
     two_classes = (F.max("n_positive") > 0) & (F.max("n_positive") < F.max("n_rows"))
     out = t.groupBy(*by).agg(
         F.max("n_rows").alias("n_rows"),
@@ -135,22 +131,20 @@ def group_spread(
 
     Also carries how many groups there are and how many were large enough.
     """
-    sizes = scores.groupBy(group).agg(F.count("*").alias("_size"))
-    counts = sizes.agg(
-        F.count("*").alias("n_groups_total"),
-        F.count_if(F.col("_size") >= min_n).alias("n_groups_evaluated"),
-    )
-    # Few rows survive the size filter's aggregation: one per group.
-    big = scores.join(sizes.where(F.col("_size") >= min_n).select(group), group, "left_semi")
-    per_group = evaluate(big, ks, [group], id_col)
+    per_group = evaluate(scores, ks, [group], id_col)
     measures = ["pr_auc_over_base"] + [f"{m}_at_{k}" for k in ks for m in ("precision", "lift")]
     stack = ", ".join(f"'{m}', {m}" for m in measures)
-    long = per_group.selectExpr(group, f"stack({len(measures)}, {stack}) as (measure, value)")
-    best = F.min(F.struct((-F.col("value")).alias("v"), F.col(group).alias("g")))
-    worst = F.min(F.struct(F.col("value").alias("v"), F.col(group).alias("g")))
-    out = long.where("value is not null").groupBy("measure").agg(best.alias("b"), worst.alias("w"))
+    long = per_group.selectExpr(group, "n_rows", f"stack({len(measures)}, {stack}) as (measure, value)")
+    large = F.col("n_rows") >= min_n
+    usable = large & F.col("value").isNotNull()
+    out = long.groupBy("measure").agg(
+        F.min(F.when(usable, F.struct((-F.col("value")).alias("v"), F.col(group).alias("g")))).alias("b"),
+        F.min(F.when(usable, F.struct(F.col("value").alias("v"), F.col(group).alias("g")))).alias("w"),
+        F.count("*").alias("n_groups_total"),
+        F.count_if(large).alias("n_groups_evaluated"),
+    )
     b, w = -F.col("b.v"), F.col("w.v")
-    return out.join(F.broadcast(counts)).select(
+    return out.where("b is not null").select(
         "measure",
         F.col("b.g").alias("best_group"),
         b.alias("best"),

@@ -16,8 +16,11 @@ BUCKETS = 64
 
 def with_buckets(df: DataFrame, by: list[str], key: str, n_buckets: int = BUCKETS) -> DataFrame:
     """Add ``_bucket``, an order-preserving bucket of ``key`` within the groups of ``by``."""
+    # The picks carry every column along. With a pruned copy of ``df`` its shuffle could not be
+    # reused here, and the input would be scanned a second time.
+    rest = [F.col(c) for c in df.columns if c not in (*by, key)]
     picks = df.groupBy(*by, F.pmod(F.xxhash64(key), F.lit(n_buckets)).alias("_slot")).agg(
-        F.min(F.struct(F.xxhash64(key, F.lit(1)).alias("h"), F.col(key).alias("k"))).alias("_m")
+        F.min(F.struct(F.xxhash64(key, F.lit(1)).alias("h"), F.col(key).alias("k"), *rest)).alias("_m")
     )
     bounds = picks.groupBy(*by).agg(F.sort_array(F.collect_set("_m.k")).alias("_bounds"))
     # ``bounds`` has one row of at most n_buckets values when there are no groups.
@@ -34,7 +37,8 @@ def running(
     descending: bool = False,
     n_buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Add inclusive running sums ``cum_<c>`` in the order of ``key`` (unique within a group)."""
+    """Add inclusive running sums ``cum_<c>`` in the order of ``key`` (unique within a group), and
+    the groups' ``total_<c>``."""
     return running_in_buckets(
         with_buckets(df, by, key, n_buckets), by, key, sums, descending
     ).drop("_bucket")
@@ -43,9 +47,10 @@ def running(
 def running_in_buckets(
     bucketed: DataFrame, by: list[str], key: str, sums: list[str], descending: bool = False
 ) -> DataFrame:
-    """Running sums of rows that carry an order-preserving ``_bucket`` already."""
+    """Running sums ``cum_<c>`` and group totals ``total_<c>`` of rows that carry ``_bucket``."""
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    before = W.partitionBy(*by).orderBy(direction("_bucket")).rowsBetween(W.unboundedPreceding, -1)
+    group = W.partitionBy(*by)
+    before = group.orderBy(direction("_bucket")).rowsBetween(W.unboundedPreceding, -1)
     within = (
         W.partitionBy(*by, "_bucket")
         .orderBy(direction(key))
@@ -53,11 +58,15 @@ def running_in_buckets(
     )
     totals = bucketed.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(c) for c in sums])
     offsets = totals.select(
-        *by, "_bucket", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_o_{c}") for c in sums]
+        *by,
+        "_bucket",
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
+        *[F.sum(c).over(group).alias(f"total_{c}") for c in sums],
     )
     return bucketed.join(offsets, [*by, "_bucket"]).select(
         *bucketed.columns,
         *[(F.sum(c).over(within) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums],
+        *[f"total_{c}" for c in sums],
     )
 
 
@@ -76,8 +85,6 @@ def exact_quantiles(
     """Linear-interpolation quantiles from (value, count) cells, for values with many levels."""
     cells = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
     ranked = running(cells, by, value, ["_n"], n_buckets=n_buckets)
-    sizes = cells.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    joined = ranked.join(sizes, by) if by else ranked.join(F.broadcast(sizes))
     first, last = F.col("cum__n") - F.col("_n"), F.col("cum__n") - 1
 
     def at(position):
@@ -85,10 +92,10 @@ def exact_quantiles(
 
     out = []
     for name, q in qs.items():
-        pos = F.lit(q) * (F.col("_total") - 1)
+        pos = F.lit(q) * (F.col("total__n") - 1)
         lo, hi, part = at(F.floor(pos)), at(F.ceil(pos)), F.max(pos - F.floor(pos))
         out.append((lo + (hi - lo) * part).cast("double").alias(name))
-    return joined.groupBy(*by).agg(*out)
+    return ranked.groupBy(*by).agg(*out)
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tristage.functions.hashing import keyed, modulo
 from tristage.functions.numeric import hypergeometric_cdf, two_sided_p
-from tristage.operators.metrics import average_precision
+from tristage.operators.metrics import average_precision_of, cells
 from tristage.operators.ordering import (
     BUCKETS,
     dense_index,
@@ -14,6 +14,7 @@ from tristage.operators.ordering import (
     running,
     with_buckets,
 )
+from tristage.session import cut
 
 CLASSES = ("real", "borderline", "weak", "indistinguishable", "reversed")
 
@@ -69,12 +70,15 @@ def cluster_bootstrap(
     replicates share the score buckets of the original rows.
     """
     by = by or []
-    index = dense_index(scores, group, "index", by)
-    draws = bootstrap_draws(index, by, n_boot, list(seeds))
-    rows = with_buckets(scores.join(index, [*by, group]), by, "score", n_buckets)
-    weighted = rows.select(*by, "index", "_bucket", id_col, "y", "score").join(draws, [*by, "index"])
+    # The rows and the draws are written once each: their product is read twice, as is its cell
+    # table, so none of the large joins runs again for the bucket totals.
+    scores = cut(scores.select(*by, group, id_col, "y", "score"))
+    index = cut(dense_index(scores, group, "index", by))
+    draws = cut(bootstrap_draws(index, by, n_boot, list(seeds)))
+    rows = cut(with_buckets(scores.join(index, [*by, group]), by, "score", n_buckets).drop(group))
+    weighted = rows.join(draws, [*by, "index"])
     rep = [*by, "seed", "rep"]
-    ap = average_precision(weighted, rep, F.col("mult"))
+    ap = average_precision_of(cut(cells(weighted, rep, F.col("mult"))), rep)
     # At most k rows per replicate can be among its top k.
     order = W.partitionBy(*rep).orderBy(F.col("score").desc(), F.col(id_col))
     first = weighted.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
