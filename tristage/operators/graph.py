@@ -23,6 +23,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return side.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _unsettled(edges: DataFrame) -> int:
+    """Nodes that keep the edges from being stars: with two links down, or links down and up."""
+    ends = edges.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")),
+                F.struct(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")),
+            )
+        ).alias("e")
+    ).select("e.*")
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return nodes.where("down > 1 or (down > 0 and up > 0)").count()
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(key, comp) for every node; ``edges`` is (a, b), the component id its smallest key.
 
@@ -31,15 +45,10 @@ def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 5
     the lineage and survives lost executors.
     """
     e = edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-    e, seen = cut(e), None
     for _ in range(max_rounds):
         e = cut(_small_star(_large_star(e)))
-        state = e.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if state == seen or state[0] == 0:
+        if _unsettled(e) == 0:
             break
-        seen = state
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     label = e.select(F.col("u").alias("key"), F.col("v").alias("comp"))

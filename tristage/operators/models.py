@@ -35,8 +35,8 @@ def features(
     if log_len:
         cols.append(F.log1p(F.length("_seq").cast("double")).alias("log_seq_len"))
     cols += T.composition(F.col("_seq"), letters)
-    out = df.select(*df.columns, *cols).drop("_seq")
     names = feature_names(seq_len, log_len, letters)
+    out = df.select(*[c for c in df.columns if c not in (*names, "_seq")], *cols)
     return VectorAssembler(inputCols=names, outputCol="features").transform(out)
 
 

@@ -43,7 +43,8 @@ def read_targets_xml(
         spark.read.format("xml").schema(schema).option("rowTag", row_tag)
         .option("mode", "PERMISSIVE").option("pathGlobFilter", "[!._]*").load(path)
     )
-    df = df.select("*", F.regexp_extract("_metadata.file_path", center_pattern, 1).alias("center"))
+    own = [c for c in df.columns if c != "center"]
+    df = df.select(*own, F.regexp_extract("_metadata.file_path", center_pattern, 1).alias("center"))
     return df.where(F.col("center").isin(only)) if only else df
 
 
