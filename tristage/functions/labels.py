@@ -35,12 +35,14 @@ def make_label(
     )
     vector = F.when(f > r, vector)
     for stage, value in (extra or {}).items():
-        value = value if isinstance(value, Column) else F.lit(value)
-        at = STAGE_INDEX[stage]
-        vector = F.transform(vector, lambda x, i, at=at, v=value: F.when(i == at, v).otherwise(x))
+        vector = _replace(vector, STAGE_INDEX[stage], value)
     return vector
 
 
+def _replace(vector: Column, at: int, value: Column | int) -> Column:
+    return F.transform(vector, lambda x, i: F.when(i == at, value).otherwise(x))
+
+
 def is_valid(label: Column) -> Column:
     """Six known values and nothing observed after the first failure."""
     first_fail = F.array_position(label, FAIL)
