@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tristage.functions import labels as L
 from tristage.operators.ordering import running
@@ -25,6 +25,10 @@ from tristage.schema import (
 )
 
 
+# Rows one window may hold before it is cut into buckets.
+WINDOW_ROWS = 100_000
+
+
 class InvalidData(ValueError):
     """An input breaks a rule that must hold; the message lists what was found."""
 
@@ -216,19 +220,26 @@ def parent_key(
 
 
 def unique_ids(df: DataFrame, id_col: str, *order: str) -> DataFrame:
-    """Append ``#n`` to ids that occur more than once; ``order`` (unique) fixes which row is which."""
+    """Append ``#n`` to ids that occur more than once; ``order`` (unique) fixes which row is which.
+
+    Ids with up to ``WINDOW_ROWS`` rows are numbered in one window each; an id with more rows is
+    numbered in buckets, so no task has to hold a hot id.
+    """
     sizes = df.groupBy(id_col).agg(F.count("*").alias("_size"))
-    keyed = df.join(sizes, id_col).withColumns({"_key": F.struct(*order), "_one": F.lit(1)})
-    numbered = running(keyed, [id_col], "_key", ["_one"])
-    fixed = F.when(
-        F.col("_size") > 1,
-        F.concat_ws("#", F.col(id_col).cast("string"), (F.col("cum__one") - 1).cast("string")),
+    sized = df.join(sizes, id_col)
+    few = sized.where(F.col("_size") <= WINDOW_ROWS).withColumn(
+        "_n", F.row_number().over(W.partitionBy(id_col).orderBy(*order))
+    )
+    many = sized.where(F.col("_size") > WINDOW_ROWS).withColumns(
+        {"_key": F.struct(*order), "_one": F.lit(1)}
     )
+    many = running(many, [id_col], "_key", ["_one"]).withColumn("_n", F.col("cum__one"))
+    cols = [*df.columns, "_size", "_n"]
+    numbered = few.select(*cols).unionByName(many.select(*cols))
+    own = F.col(id_col).cast("string")
+    fixed = F.when(F.col("_size") > 1, F.concat_ws("#", own, (F.col("_n") - 1).cast("string")))
     return numbered.select(
-        *[
-            F.coalesce(fixed, F.col(c).cast("string")).alias(c) if c == id_col else F.col(c)
-            for c in df.columns
-        ]
+        *[F.coalesce(fixed, own).alias(c) if c == id_col else F.col(c) for c in df.columns]
     )
 
 

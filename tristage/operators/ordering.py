@@ -16,13 +16,13 @@ BUCKETS = 64
 
 def with_buckets(df: DataFrame, by: list[str], key: str, n_buckets: int = BUCKETS) -> DataFrame:
     """Add ``_bucket``, an order-preserving bucket of ``key`` within the groups of ``by``."""
-    # The picks carry every column along. With a pruned copy of ``df`` its shuffle could not be
-    # reused here, and the input would be scanned a second time.
-    rest = [F.col(c) for c in df.columns if c not in (*by, key)]
+    # The order of the picks is a hash of the whole row. With a pruned copy of ``df`` its shuffle
+    # could not be reused here, and the input would be scanned a second time.
+    row = F.xxhash64(key, *[c for c in df.columns if c not in (*by, key)])
     picks = df.groupBy(*by, F.pmod(F.xxhash64(key), F.lit(n_buckets)).alias("_slot")).agg(
-        F.min(F.struct(F.xxhash64(key, F.lit(1)).alias("h"), F.col(key).alias("k"), *rest)).alias("_m")
+        F.min_by(key, row).alias("_pick")
     )
-    bounds = picks.groupBy(*by).agg(F.sort_array(F.collect_set("_m.k")).alias("_bounds"))
+    bounds = picks.groupBy(*by).agg(F.sort_array(F.collect_set("_pick")).alias("_bounds"))
     # ``bounds`` has one row of at most n_buckets values when there are no groups.
     joined = df.join(bounds, by) if by else df.join(F.broadcast(bounds))
     below = F.size(F.filter("_bounds", lambda b: b < F.col(key)))
