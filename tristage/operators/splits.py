@@ -153,7 +153,8 @@ def fold_summary(
     enough = F.col("n_test") >= min_test_n
     positive = F.col("test_neg_groups") >= min_test_positives
     return out.join(batches, "fold", "left").select(
-        "*",
+        *out.columns,
+        F.coalesce("n_batches", F.lit(0)).alias("n_batches"),
         F.coalesce(loss, F.lit(0.0)).alias("homology_loss_pct"),
         (enough & positive).alias("evaluable"),
         F.when(~enough, "test too small").when(~positive, "too few failing groups")
