@@ -62,32 +62,36 @@ IS_SPACE[[ord(c) for c in SPACES]] = True
 WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and the words per row.
+def words(column: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, words per row, starts, ends, bytes) of the runs of bytes for which ``inside`` is true.
 
-    A word's hash is a polynomial over a random value per byte; two different words of any text meet
-    with a probability of about 2^-64.
+    A-Z count as a-z. A word's 64-bit hash is a polynomial over a random value per byte; two different
+    words meet with a probability of about 2^-64.
     """
     data, offsets = utf8(column)
     n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
-    inside = ~IS_SPACE[data]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    first = offsets[:-1][offsets[:-1] < n]
-    begins[first] |= inside[first]
-    starts = np.flatnonzero(begins)
+    member = inside[data]
+    begins, finishes = member.copy(), member.copy()
+    begins[1:] &= ~member[:-1]
+    finishes[:-1] &= ~member[1:]
+    edges = offsets[(offsets > 0) & (offsets < n)]
+    begins[edges] |= member[edges]
+    finishes[edges - 1] |= member[edges - 1]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
     counts = np.diff(np.searchsorted(starts, offsets))
     if not len(starts):
-        return np.zeros(0, np.uint64), counts
-    at = np.zeros(n, np.int64)
-    at[starts] = starts
-    at = np.arange(n) - np.maximum.accumulate(at)
-    values = BYTE_VALUES[data]
-    values[~inside] = 0
-    powers = np.full(int(at[inside].max()) + 1, WORD_BASE)
+        return np.zeros(0, np.uint64), counts, starts, ends, data
+    # Places within words, and only the bytes of words from here on.
+    lengths = ends - starts
+    values = BYTE_VALUES[data[member]]
+    first = np.cumsum(lengths) - lengths
+    at = np.arange(len(values), dtype=np.int64) - np.repeat(first, lengths)
+    powers = np.full(int(lengths.max()), WORD_BASE)
     powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    values *= powers[np.minimum(at, len(powers) - 1)]
-    return mix64(np.add.reduceat(values, starts)), counts
+    values *= np.multiply.accumulate(powers)[at]
+    return mix64(np.add.reduceat(values, first)), counts, starts, ends, data
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and the words per row."""
+    return words(column, ~IS_SPACE)[:2]

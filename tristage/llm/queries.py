@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tristage.llm import bpe, chat, exact_dedup, packing, repair, secrets, topk
-from tristage.llm.columns import table
+from tristage.llm import bpe, chat, exact_dedup, packing, repair, secrets, topk, toxicity
+from tristage.llm.columns import crc_of_id, table
 from tristage.session import scratch_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -82,6 +82,27 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, path))
 
 
+HELD_OUT_THIRD = 1
+REJECT = 0.7
+
+
+def toxicity_network(spark: SparkSession, sf_dir: str) -> toxicity.Network:
+    """Learnt from the labels outside the held-out third only."""
+    labels = table(spark, sf_dir, "labels").where(crc_of_id() % 3 != HELD_OUT_THIRD)
+    return toxicity.train(table(spark, sf_dir, "documents"), labels)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_network(spark, sf_dir), score_col="score")
+    return scored.select(
+        "doc_id",
+        (crc_of_id() % 3 == HELD_OUT_THIRD).alias("held_out"),
+        "score",
+        (F.col("score") >= REJECT).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_chat_format": op3_chat_format,
@@ -90,5 +111,6 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_token_files": op7_token_files,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_top_k": OP5_SQL}
