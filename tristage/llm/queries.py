@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tristage.llm import bpe, chat, exact_dedup, packing, repair, secrets, topk, toxicity
+from tristage.llm import bpe, chat, exact_dedup, jaccard, packing, repair, secrets, topk, toxicity
 from tristage.llm.columns import crc_of_id, table
 from tristage.session import scratch_path
 
@@ -82,6 +82,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, path))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 HELD_OUT_THIRD = 1
 REJECT = 0.7
 
@@ -111,6 +115,7 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_token_files": op7_token_files,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_top_k": OP5_SQL}
