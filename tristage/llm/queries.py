@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tristage.llm import bpe, chat, exact_dedup, jaccard, packing, repair, secrets, topk, toxicity
+from tristage.llm import bpe, chat, exact_dedup, jaccard, lm, packing, repair, secrets, topk, toxicity
 from tristage.llm.columns import crc_of_id, table
 from tristage.session import scratch_path
 
@@ -34,6 +34,18 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+HELD_OUT_SEVENTH, DELETED_SEVENTH = 2, 3
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = crc_of_id() % 7
+    kind = F.when(rest == HELD_OUT_SEVENTH, lm.OTHER).when(rest == DELETED_SEVENTH, lm.DELETED).otherwise(lm.LEARN)
+    scored = lm.score(table(spark, sf_dir, "documents"), kind)
+    return scored.select(
+        "doc_id", (F.col("kind") == lm.OTHER).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.with_probe(table(spark, sf_dir, "conversations"))
     return chat.read_back(chat.expand(turns))
@@ -109,6 +121,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_lm_score": op2_lm_score,
     "op3_chat_format": op3_chat_format,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_top_k": op5_top_k,
