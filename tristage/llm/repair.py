@@ -2,8 +2,8 @@
 
 Documents are dealt by ranges of their id and sorted, so the files hold them in ascending order. A
 task cuts its documents into blocks of about ``BLOCK_IDS`` ids. In each block frequent pairs of
-adjacent ids are replaced by new symbols, again and again, until no pair is frequent: the rules form
-a grammar. A block is one row of a Parquet table, so writing and reading work on any store that Spark
+adjacent ids or symbols are replaced by new symbols, again and again, up to ``MOST_ROUNDS`` times or
+until no pair is frequent: the rules form a grammar. A block is one row of a Parquet table, so writing and reading work on any store that Spark
 knows and survive lost tasks:
 
 | column | content |
@@ -37,9 +37,8 @@ from tristage.llm.columns import text_or_empty
 from tristage.llm.tokens import word_tokenizer
 
 BLOCK_IDS = 1 << 20
-LEAST_PAIR = 24  # a pair is replaced if it occurs so often in a block
-MOST_RULES = 1 << 16
-MOST_ROUNDS = 6
+LEAST_PAIR = 32  # a pair is replaced if it occurs so often in a block
+MOST_ROUNDS = 4
 BLOCKS = "shard int, block int, first long, doc_ids array<long>, lengths array<long>, terminals long, rules binary, expansions binary, symbols binary"
 
 
@@ -53,42 +52,49 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
+def _slots(pairs: np.ndarray) -> np.ndarray:
+    """A number of 21 bits per pair, to pick out those worth sorting."""
+    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int32)
+
+
 def compress(ids: np.ndarray, terminals: int, least: int = LEAST_PAIR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, expansion lengths, symbols) of a sequence of ids below ``terminals``.
 
-    A round takes the pairs that occur at least a sixteenth as often as the most frequent one, and
-    replaces their occurrences from left to right; of overlapping occurrences the left one is taken.
+    A round takes all pairs that occur at least ``least`` times and replaces their occurrences from
+    left to right; of overlapping occurrences the left one is taken.
     """
-    symbols = ids.astype(np.int64)
-    rules, lengths = [], [np.ones(terminals, np.int64)]
-    made = 0
+    symbols = ids.astype(np.uint32)
+    rules, sizes, made = [np.zeros((0, 2), np.uint32)], np.ones(terminals, np.int64), 0
     for _ in range(MOST_ROUNDS):
-        if len(symbols) < 2 or made >= MOST_RULES:
+        if len(symbols) < 2:
             break
-        pairs = (symbols[:-1] << 32) | symbols[1:]
-        ordered = np.sort(pairs)
+        pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+        slot = _slots(pairs)
+        at = np.flatnonzero((np.bincount(slot, minlength=1 << 21) >= least)[slot])
+        ordered = np.sort(pairs[at])
         edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
-        counts = np.diff(edges)
-        top = int(counts.max())
-        if top < least:
+        frequent = ordered[edges[:-1][np.diff(edges) >= least]] if len(ordered) else ordered
+        if not len(frequent):
             break
-        chosen = np.flatnonzero(counts >= max(least, top // 16))
-        chosen = chosen[np.argsort(-counts[chosen], kind="stable")][: MOST_RULES - made]
-        frequent = np.sort(ordered[edges[chosen]])
-        place = np.searchsorted(frequent, pairs)
-        hit = np.flatnonzero(frequent[np.minimum(place, len(frequent) - 1)] == pairs)
+        marked = np.zeros(1 << 21, bool)
+        marked[_slots(frequent)] = True
+        at = at[marked[slot[at]]]
+        place = np.searchsorted(frequent, pairs[at])
+        found = frequent[np.minimum(place, len(frequent) - 1)] == pairs[at]
+        hit, place = at[found], place[found]
         # In a run of overlapping occurrences every second one is taken.
         begins = np.concatenate(([True], np.diff(hit) > 1))
         run = np.maximum.accumulate(np.where(begins, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
-        symbols[hit] = terminals + made + place[hit]
-        symbols = np.delete(symbols, hit + 1)
-        rules.append(np.stack([frequent >> 32, frequent & 0xFFFFFFFF], 1))
-        sizes = np.concatenate(lengths)
-        lengths = [sizes, sizes[rules[-1][:, 0]] + sizes[rules[-1][:, 1]]]
+        even = (np.arange(len(hit)) - run) % 2 == 0
+        hit, place = hit[even], place[even]
+        symbols[hit] = terminals + made + place
+        keep = np.ones(len(symbols), bool)
+        keep[hit + 1] = False
+        symbols = symbols[keep]
+        rules.append(np.stack([frequent >> np.uint64(32), frequent & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        sizes = np.concatenate([sizes, sizes[rules[-1][:, 0]] + sizes[rules[-1][:, 1]]])
         made += len(frequent)
-    rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return rules.astype(np.uint32).ravel(), np.concatenate(lengths)[terminals:].astype(np.uint32), symbols.astype(np.uint32)
+    return np.concatenate(rules).ravel(), sizes[terminals:].astype(np.uint32), symbols
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
