@@ -87,3 +87,9 @@ def test_verdict_classes(spark):
     assert got == {"a": "real", "b": "weak", "c": "indistinguishable", "d": "reversed", "e": "indistinguishable"}
     other = spark.createDataFrame([("a", True)], "fold string, crosses_1 boolean")
     assert S.downgrade(df, other, ["fold"]).where("fold = 'a'").first()["effect_class"] == "borderline"
+
+
+def test_null_groups_are_groups(spark):
+    rows = [(None, 0.9, 1), (None, 0.1, 0), ("g", 0.8, 0), ("g", 0.7, 1)]
+    out = M.average_precision(spark.createDataFrame(rows, "g string, score double, y int"), ["g"]).collect()
+    assert {r["g"]: (r["n_rows"], r["pr_auc"]) for r in out} == {None: (2, 1.0), "g": (2, 0.5)}

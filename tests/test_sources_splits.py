@@ -38,6 +38,22 @@ def test_fasta_duplicates_and_lines(spark, tmp_path):
     assert {r["header"]: r["sequence"] for r in R.read_fasta(spark, str(tmp_path)).collect()} == {"x one": "GGG", "y": "AAA"}
 
 
+def test_fasta_marks_within_headers(spark, tmp_path):
+    (tmp_path / "b.fa").write_text(">p1 5'->3' exo\r\nACG\r\n>p2 a>b\nTT\nGG\n")
+    got = {r["header"]: r["sequence"] for r in R.read_fasta(spark, str(tmp_path)).collect()}
+    assert got == {"p1 5'->3' exo": "ACG", "p2 a>b": "TTGG"}
+
+
+def test_folds_keep_rows_without_a_group(spark):
+    rows = spark.createDataFrame([(1, "a", None), (2, "b", None), (3, "a", 7), (4, "b", 8)], "id bigint, batch string, grp bigint")
+    folds = spark.createDataFrame([("a", 0), ("b", 1)], "batch string, fold int")
+    got = {(r["id"], r["fold"]): r["side"] for r in P.fold_train_test(rows, folds, "batch", "grp", 2).collect()}
+    assert got == {
+        (1, 0): "test", (1, 1): "dropped", (2, 0): "dropped", (2, 1): "test",
+        (3, 0): "test", (3, 1): "train", (4, 0): "train", (4, 1): "test",
+    }
+
+
 def test_score_json(spark, tmp_path):
     docs = {"j1": {"chain_iptm": [0.7, 0.2], "iptm": 0.9}, "j2": {"iptm": 0.4}, "j3": {"other": 1}, "j4": {"chain_iptm": []}}
     for job, d in docs.items():

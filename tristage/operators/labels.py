@@ -25,8 +25,6 @@ from tristage.schema import (
 )
 
 
-# Rows one window may hold before it is cut into buckets.
-WINDOW_ROWS = 100_000
 
 
 class InvalidData(ValueError):
@@ -222,25 +220,18 @@ def parent_key(
 def unique_ids(df: DataFrame, id_col: str, *order: str) -> DataFrame:
     """Append ``#n`` to ids that occur more than once; ``order`` (unique) fixes which row is which.
 
-    Ids with up to ``WINDOW_ROWS`` rows are numbered in one window each; an id with more rows is
-    numbered in buckets, so no task has to hold a hot id.
+    Rows of repeated ids are numbered in buckets of their order, so no task has to hold a hot id; the
+    others, and rows without an id, pass through.
     """
-    sizes = df.groupBy(id_col).agg(F.count("*").alias("_size"))
-    sized = df.join(sizes, id_col)
-    few = sized.where(F.col("_size") <= WINDOW_ROWS).withColumn(
-        "_n", F.row_number().over(W.partitionBy(id_col).orderBy(*order))
-    )
-    many = sized.where(F.col("_size") > WINDOW_ROWS).withColumns(
-        {"_key": F.struct(*order), "_one": F.lit(1)}
-    )
-    many = running(many, [id_col], "_key", ["_one"]).withColumn("_n", F.col("cum__one"))
-    cols = [*df.columns, "_size", "_n"]
-    numbered = few.select(*cols).unionByName(many.select(*cols))
+    repeated = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("_size")).where("_size > 1")
+    sized = df.join(repeated, id_col, "left")
+    numbered = sized.where(F.col("_size").isNotNull()).withColumns({"_key": F.struct(*order), "_one": F.lit(1)})
+    numbered = running(numbered, [id_col], "_key", ["_one"])
     own = F.col(id_col).cast("string")
-    fixed = F.when(F.col("_size") > 1, F.concat_ws("#", own, (F.col("_n") - 1).cast("string")))
-    return numbered.select(
-        *[F.coalesce(fixed, own).alias(c) if c == id_col else F.col(c) for c in df.columns]
-    )
+    fixed = F.concat_ws("#", own, (F.col("cum__one") - 1).cast("string"))
+    alone = sized.where(F.col("_size").isNull())
+    as_id = lambda value: [value.alias(c) if c == id_col else F.col(c) for c in df.columns]
+    return alone.select(*as_id(own)).unionByName(numbered.select(*as_id(fixed)))
 
 
 # ---------------------------------------------------------------- unification

@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tristage.functions.hashing import keyed, uniform
-from tristage.operators.ordering import running, running_in_buckets, with_buckets
+from tristage.operators.ordering import join_groups, running, running_in_buckets, with_buckets
 
 KS = (10, 20, 50, 100)
 
 
 def _on(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     # Without groups the right side is one row.
-    return left.join(right, by) if by else left.join(F.broadcast(right))
+    return join_groups(left, right, by) if by else left.join(F.broadcast(right))
 
 
 def cells(scores: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:

@@ -14,6 +14,17 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 BUCKETS = 64
 
 
+def join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join on the group columns; a NULL group is a group like any other."""
+    other = right
+    for c in by:
+        other = other.withColumnRenamed(c, f"_right_{c}")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_right_{c}"))
+    return left.join(other, same, how).drop(*[f"_right_{c}" for c in by])
+
+
 def with_buckets(df: DataFrame, by: list[str], key: str, n_buckets: int = BUCKETS) -> DataFrame:
     """Add ``_bucket``, an order-preserving bucket of ``key`` within the groups of ``by``."""
     # The order of the picks is a hash of the whole row. With a pruned copy of ``df`` its shuffle
@@ -24,7 +35,7 @@ def with_buckets(df: DataFrame, by: list[str], key: str, n_buckets: int = BUCKET
     )
     bounds = picks.groupBy(*by).agg(F.sort_array(F.collect_set("_pick")).alias("_bounds"))
     # ``bounds`` has one row of at most n_buckets values when there are no groups.
-    joined = df.join(bounds, by) if by else df.join(F.broadcast(bounds))
+    joined = join_groups(df, bounds, by) if by else df.join(F.broadcast(bounds))
     below = F.size(F.filter("_bounds", lambda b: b < F.col(key)))
     return joined.withColumn("_bucket", below).drop("_bounds")
 
@@ -63,7 +74,7 @@ def running_in_buckets(
         *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
         *[F.sum(c).over(group).alias(f"total_{c}") for c in sums],
     )
-    return bucketed.join(offsets, [*by, "_bucket"]).select(
+    return join_groups(bucketed, offsets, [*by, "_bucket"]).select(
         *bucketed.columns,
         *[(F.sum(c).over(within) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums],
         *[f"total_{c}" for c in sums],

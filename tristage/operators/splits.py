@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tristage.functions.hashing import keyed, kfold_of, uniform
-from tristage.operators.ordering import dense_index
+from tristage.operators.ordering import dense_index, join_groups
 
 
 def representative(df: DataFrame, group: list[str], id_col: str, seed: int) -> DataFrame:
@@ -100,7 +100,7 @@ def fold_train_test(df: DataFrame, folds: DataFrame, batch: str, group: str, k:
     """Rows with (fold, side) for every fold: test = held batches, train = untouched other groups.
 
     Instead of one semi and one anti join per fold, each group carries the set of folds that touch
-    it (at most k), and a row trains in every fold outside that set.
+    it (at most k), and a row trains in every fold outside that set. Rows without a group form one.
     """
     assigned = df.join(folds, batch, "left").withColumn("fold", F.coalesce("fold", F.lit(-1)))
     touched = assigned.groupBy(group).agg(
@@ -119,7 +119,7 @@ def fold_train_test(df: DataFrame, folds: DataFrame, batch: str, group: str, k:
     )
     return (
         assigned.withColumnRenamed("fold", "_own")
-        .join(touched, group)
+        .transform(lambda d: join_groups(d, touched, [group]))
         .withColumn("_role", F.explode(roles))
         .select(*df.columns, F.col("_role.fold").alias("fold"), F.col("_role.side").alias("side"))
     )

@@ -98,13 +98,14 @@ def trials_from_xml(t):
 
 
 @query(
-    "header:i sequence:s",
-    f"SELECT doc_id AS header, upper(translate(md5(text) || md5(text || '2'), '{_HEX}', '{_AMINO}')) AS sequence FROM documents",
+    "header:s sequence:s",
+    f"SELECT doc_id || ' 5''->3'' exo' AS header, upper(translate(md5(text) || md5(text || '2'), '{_HEX}', '{_AMINO}')) AS sequence FROM documents",
 )
 def fasta_round_trip(t):
-    """Multi-line records written sorted by id and read back."""
+    """Multi-line records, with the record mark inside their headers, written sorted and read back."""
     fold = F.concat(F.md5("text"), F.lit("\n"), F.md5(F.concat("text", F.lit("2"))))
-    seqs = t("documents").select("doc_id", F.translate(fold, _HEX, _AMINO).alias("seq"))
+    header = F.concat(F.col("doc_id").cast("string"), F.lit(" 5'->3' exo"))
+    seqs = t("documents").select(header.alias("doc_id"), F.translate(fold, _HEX, _AMINO).alias("seq"))
     path = scratch_path(t.spark, "fasta")
     K.write_fasta(seqs, "doc_id", "seq", path)
     return R.read_fasta(t.spark, path)

@@ -125,14 +125,22 @@ _FOLDS_SQL = f"""WITH RECURSIVE {ORDERS_SQL}, s AS (SELECT center, count(*) AS n
     UNION ALL SELECT center, -1 FROM s WHERE n < {{min_n}}"""
 
 
-@query("center:s fold:i", _FOLDS_SQL.format(min_n=520))
+_MIN_N = "(SELECT count(*) * 52 // 1500 FROM orders)"
+
+
+@query("center:s fold:i", _FOLDS_SQL.format(min_n=_MIN_N))
 def balanced_folds(t):
-    return folds_of(t, 520)
+    return folds_of(t)
+
+
+def orders_share(t, part, whole):
+    """A limit that grows with the data: ``part`` of every ``whole`` orders."""
+    return t("orders").count() * part // whole
 
 
-def folds_of(t, min_n):
+def folds_of(t):
     sizes = t.orders().groupBy("center").agg(F.count("*").alias("n"))
-    return P.greedy_folds(sizes, "center", "n", 5, min_n)
+    return P.greedy_folds(sizes, "center", "n", 5, orders_share(t, 52, 1500))
 
 
 _ASSIGNED_SQL = f"""a AS (
@@ -143,12 +151,12 @@ _ASSIGNED_SQL = f"""a AS (
       FROM a, (SELECT unnest(range(5)) AS fold) j)"""
 # Orders are regrouped by price so that groups span batches.
 _SPAN_SQL = ORDERS_SQL.replace("o_custkey AS grp", "floor(o_totalprice / 40)::BIGINT AS grp")
-_FOLD_BASE = f"WITH {_SPAN_SQL}, folds AS ({_FOLDS_SQL.format(min_n=520)}), {_ASSIGNED_SQL}"
+_FOLD_BASE = f"WITH {_SPAN_SQL}, folds AS ({_FOLDS_SQL.format(min_n=_MIN_N)}), {_ASSIGNED_SQL}"
 
 
 def assigned(t):
     orders = t.orders().withColumn("grp", F.floor(F.col("price") / 40))
-    return P.fold_train_test(orders, folds_of(t, 520), "center", "grp", 5)
+    return P.fold_train_test(orders, folds_of(t), "center", "grp", 5)
 
 
 @query("fold:i side:s n:i", _FOLD_BASE + " SELECT fold, side, count(*) AS n FROM r GROUP BY ALL")
@@ -162,17 +170,18 @@ def fold_sides(t):
       sum((side = 'test')::INT) AS n_test, sum((side = 'train')::INT) AS n_train, sum((side = 'dropped')::INT) AS n_dropped,
       count(DISTINCT grp) FILTER (side = 'test' AND label_express = 0) AS test_neg_groups,
       count(DISTINCT grp) FILTER (side = 'train' AND label_express = 0) AS train_neg_groups FROM r GROUP BY fold)
-    SELECT *, 100.0 * n_dropped / (n_train + n_dropped) AS homology_loss_pct, n_test >= 150 AND test_neg_groups >= 910 AS evaluable,
-      CASE WHEN n_test < 150 THEN 'test too small' WHEN test_neg_groups < 910 THEN 'too few failing groups' ELSE '' END AS reason FROM x""",
+    SELECT *, 100.0 * n_dropped / (n_train + n_dropped) AS homology_loss_pct, n_test >= lim.n AND test_neg_groups >= lim.g AS evaluable,
+      CASE WHEN n_test < lim.n THEN 'test too small' WHEN test_neg_groups < lim.g THEN 'too few failing groups' ELSE '' END AS reason
+      FROM x, (SELECT count(*) * 15 // 1500 AS n, count(*) * 91 // 1500 AS g FROM orders) lim""",
 )
 def fold_report(t):
-    return P.fold_summary(assigned(t), "center", "grp", "label_express", 150, 910)
+    return P.fold_summary(assigned(t), "center", "grp", "label_express", orders_share(t, 15, 1500), orders_share(t, 91, 1500))
 
 
 @query(
     "fold:i n_cross:i n_within:i ratio:d",
     _FOLD_BASE + """ SELECT fold, sum((side = 'train')::INT) AS n_cross, sum((side = 'test')::INT) AS n_within,
-      sum((side = 'train')::INT) / sum((side = 'test')::INT) AS ratio FROM r GROUP BY fold""",
+      sum((side = 'train')::INT) / nullif(sum((side = 'test')::INT), 0) AS ratio FROM r GROUP BY fold""",
 )
 def training_size_ratio(t):
     from tristage.operators.models import size_ratio

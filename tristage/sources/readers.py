@@ -142,11 +142,12 @@ def read_by_manifest(
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(header, sequence, file) per record; of repeated headers in a file the last one counts.
 
-    Records are split at ``>`` by the text source, so files of any number of records stay
-    splittable. The order of repeats is the scan position within the file.
+    Records are split by the text source where a line starts with ``>``, so files of any number of
+    records stay splittable and a ``>`` within a header belongs to it. The order of repeats is the
+    scan position within the file.
     """
     raw = (
-        spark.read.option("lineSep", ">").text(path)
+        spark.read.option("lineSep", "\n>").text(path)
         .select(
             "value", F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("_block"),
@@ -154,7 +155,9 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
         )
         .where("value <> ''")
     )
-    parts = F.split("value", "\r?\n", 2)
+    # Only the first record of a file still has its own mark; what stands before it is no record.
+    start = F.col("_block") == 0
+    parts = F.split(F.when(start & F.col("value").startswith(">"), F.substring("value", 2, 2**31 - 1)).otherwise(F.col("value")), "\r?\n", 2)
     parsed = raw.select(
         F.trim(parts[0]).alias("header"),
         F.upper(F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s+", "")).alias("sequence"),
@@ -175,7 +178,7 @@ def read_designs(spark: SparkSession, path: str, job_pattern: str = r"([^/]+)/[^
     fasta = read_fasta(spark, path).withColumn("job", F.regexp_extract("file", job_pattern, 1))
     letters = F.size(F.array_distinct(F.split("sequence", "")))
     valid = fasta.where(F.col("sequence").rlike(f"^[{RESIDUES20}]+$") & (letters > 2))
-    first = F.min(F.struct("job", F.substring("header", 1, 200).alias("header")))
+    first = F.min(F.struct("job", "header"))
     return valid.groupBy("sequence").agg(first.alias("m")).select("m.job", "m.header", "sequence")
 
 
