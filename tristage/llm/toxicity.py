@@ -31,6 +31,7 @@ WINDOW, STRIDE = 32, 16
 WORD_SLOTS, GRAM_SLOTS = 1 << 14, 1 << 16
 GRAMS = (3, 4, 5, 6)
 WIDTH, HIDDEN = 8, 8
+WORDS_AT_ONCE, TEXTS_AT_ONCE = 8192, 32  # what temporary arrays cover
 EPOCHS = 5
 BATCH, RATE = 256, 0.1
 FLOOR = 1e-5  # start of the squared gradients of word and n-gram vectors; keeps rare ones from being learnt by heart
@@ -43,7 +44,16 @@ LETTERS[[*range(65, 91), *range(97, 123)]] = True
 
 
 def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, word) of every character n-gram of words marked at both ends."""
+    """(slots, number per word) of the character n-grams of words marked at both ends, word by word."""
+    slots, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(starts), WORDS_AT_ONCE):
+        own = _some_grams(data, starts[at : at + WORDS_AT_ONCE], ends[at : at + WORDS_AT_ONCE])
+        slots.append(own[0])
+        counts.append(own[1])
+    return np.concatenate(slots), np.concatenate(counts)
+
+
+def _some_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lengths = ends - starts + 2
     first = np.cumsum(lengths) - lengths
     whole = np.empty(int(lengths.sum()), np.uint8)
@@ -53,7 +63,7 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     at = np.arange(int((lengths - 2).sum())) - np.repeat(np.cumsum(lengths - 2) - (lengths - 2), lengths - 2)
     whole[body] = data[np.repeat(starts, lengths - 2) + at]
     values = BYTE_VALUES[whole]
-    owner = np.repeat(np.arange(len(starts)), lengths)
+    owner = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
     left = np.repeat(first + lengths, lengths) - np.arange(len(whole))
     slots, owners = [], []
     for n in GRAMS:
@@ -61,11 +71,10 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
         for i in range(n):
             code[: len(whole) - i] = code[: len(whole) - i] * WORD_BASE + values[i:]
         fits = left >= n
-        slots.append(mix64(code[fits] + np.uint64(n)) % np.uint64(GRAM_SLOTS))
+        slots.append((mix64(code[fits] + np.uint64(n)) % np.uint64(GRAM_SLOTS)).astype(np.int32))
         owners.append(owner[fits])
-    slot, word = np.concatenate(slots).astype(np.int64), np.concatenate(owners)
-    order = np.argsort(word, kind="stable")
-    return slot[order], word[order]
+    slot, word = np.concatenate(slots), np.concatenate(owners)
+    return slot[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(starts))
 
 
 class Words:
@@ -74,12 +83,11 @@ class Words:
     def __init__(self, column: pa.Array):
         hashes, counts, starts, ends, data = words(column, LETTERS)
         distinct, at, self.ids = np.unique(hashes, return_index=True, return_inverse=True)
-        self.n, self.rows = len(distinct), len(counts)
+        self.n, self.rows, self.counts = len(distinct), len(counts), counts
         self.word_slots = (distinct % np.uint64(WORD_SLOTS)).astype(np.int64)
         if self.n:
-            self.gram_slots, owner = _grams(data, starts[at], ends[at])
-            self.gram_first = np.searchsorted(owner, np.arange(self.n))
-            self.gram_counts = np.diff(np.append(self.gram_first, len(owner)))
+            self.gram_slots, self.gram_counts = _grams(data, starts[at], ends[at])
+            self.gram_first = np.cumsum(self.gram_counts) - self.gram_counts
         begins = np.cumsum(counts) - counts
         per_row = np.where(counts > 0, 1 + np.maximum(0, -(-(counts - WINDOW) // STRIDE)), 0)
         self.window_row = np.repeat(np.arange(len(counts)), per_row)
@@ -128,12 +136,13 @@ class Network:
         known: which of the words may be recognised as a whole; the others are their n-grams alone."""
         chosen = np.arange(own.n) if chosen is None else chosen
         out = np.zeros((len(chosen) + 1, WIDTH), np.float32)
-        if len(chosen):
-            counts, at = own.grams_of(chosen)
-            out[:-1] = np.add.reduceat(self.w["gram"][own.gram_slots[at]], np.cumsum(counts) - counts, axis=0)
-            out[:-1] /= np.sqrt(counts)[:, None].astype(np.float32)
-            whole = self.w["word"][own.word_slots[chosen]]
-            out[:-1] += whole if known is None else whole * known[:, None]
+        for a in range(0, len(chosen), WORDS_AT_ONCE):
+            b = min(a + WORDS_AT_ONCE, len(chosen))
+            counts, at = own.grams_of(chosen[a:b])
+            out[a:b] = np.add.reduceat(self.w["gram"][own.gram_slots[at]], np.cumsum(counts) - counts, axis=0)
+            out[a:b] /= np.sqrt(counts)[:, None].astype(np.float32)
+            whole = self.w["word"][own.word_slots[chosen[a:b]]]
+            out[a:b] += whole if known is None else whole * known[a:b, None]
         return out
 
     def _read(self, side: str, projected: np.ndarray, order: range, keep: list | None):
@@ -273,27 +282,27 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Network:
 
 def _prime(net: Network, own: Words, labels: np.ndarray) -> None:
     """Start two input dimensions from how much oftener toxic texts hold a word or an n-gram."""
-    per_row = np.bincount(own.window_row, minlength=own.rows)
-    words_of = np.diff(np.append(own.window_at[np.cumsum(per_row)[per_row > 0] - per_row[per_row > 0]], len(own.ids)))
-    row = np.repeat(np.flatnonzero(per_row > 0), words_of)
-    pairs = np.unique(row * (own.n + 1) + own.ids)
-    row, word = pairs // (own.n + 1), pairs % (own.n + 1)
     n1, n0 = labels.sum(), len(labels) - labels.sum()
-
-    def odds(rows, slots, size):
-        both = np.unique(rows * size + slots)
-        hit = labels[both // size] == 1
-        has = np.bincount((both % size)[hit], minlength=size), np.bincount((both % size)[~hit], minlength=size)
-        prior = 4 * n1 / (n1 + n0), 4 * n0 / (n1 + n0)  # what occurs once or twice says little
-        return np.log((has[0] + prior[0]) / n1) - np.log((has[1] + prior[1]) / n0)
-
-    counts, at = own.grams_of(word)
-    for name, value in (
-        ("word", odds(row, own.word_slots[word], WORD_SLOTS)),
-        ("gram", odds(np.repeat(row, counts), own.gram_slots[at], GRAM_SLOTS)),
-    ):
-        net.w[name][:, 0] = np.clip(value, 0, None) / 4
-        net.w[name][:, 1] = np.clip(-value, 0, None) / 4
+    prior = 4 * n1 / (n1 + n0), 4 * n0 / (n1 + n0)  # what occurs once or twice says little
+    sizes = {"word": WORD_SLOTS, "gram": GRAM_SLOTS}
+    has = {name: np.zeros((2, size)) for name, size in sizes.items()}
+    ends = np.cumsum(own.counts)
+    for a in range(0, own.rows, TEXTS_AT_ONCE):
+        b = min(a + TEXTS_AT_ONCE, own.rows)
+        ids = own.ids[ends[a] - own.counts[a] : ends[b - 1]]
+        pairs = np.unique(np.repeat(np.arange(b - a), own.counts[a:b]) * own.n + ids)
+        row, word = pairs // own.n, pairs % own.n
+        if not len(word):
+            continue
+        counts, at = own.grams_of(word)
+        for name, rows, slots in (("word", row, own.word_slots[word]), ("gram", np.repeat(row, counts), own.gram_slots[at])):
+            both = np.unique(rows * sizes[name] + slots)
+            for y in (0, 1):
+                has[name][y] += np.bincount((both % sizes[name])[labels[a + both // sizes[name]] == y], minlength=sizes[name])
+    for name, (in0, in1) in has.items():
+        odds = np.log((in1 + prior[0]) / n1) - np.log((in0 + prior[1]) / n0)
+        net.w[name][:, 0] = np.clip(odds, 0, None) / 4
+        net.w[name][:, 1] = np.clip(-odds, 0, None) / 4
 
 
 def _first_guess(net: Network, own: Words) -> np.ndarray:
