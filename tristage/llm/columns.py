@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ SPACES = " \t\n\v\f\r"  # [\x20\x09-\x0D]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Workers started from another folder find this package too, where its folder is there for them.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -37,6 +37,7 @@ SENSITIVE = re.compile(
     re.ASCII | re.IGNORECASE,
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{12,}")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 # A superset of all of them in one linear pass; texts without a hit have no span.
 ANY = r"(?i)passw|passphrase|secret|token|api[_ -]?key|credential|private[_ -]?key|authoriz|bearer|auth[_-]?key|akia[a-z0-9]{16}|[0-9a-f]{24}"
 REACH = 64  # how far before a candidate the sensitive word may end
@@ -51,6 +52,13 @@ IDENTIFIERS = (
     "/usr/local/bin/ /home/ path file name directory version release build index data table column request response "
     "header content-type application/json encoding utf-8 timestamp january february march april monday tuesday "
     "ation tion ing ment able ence ance ness ship ious ical ably ions ther here with that this have from they will "
+    "get set put add remove delete create update find search load save read write open close start stop run call send "
+    "receive check parse format print handle callback event listener handler manager service factory provider client "
+    "server host port socket thread process worker queue stack list array map key item index count size length width "
+    "height color image video audio text string number integer float double boolean object array function method "
+    "module package library framework database query result error message warning exception status state property "
+    "attribute element node parent child root leaf tree graph model view controller component template style script "
+    "order product customer account address email phone number street city country code id type kind group category "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 -------- ======== ........ ________"
 )
 
@@ -68,6 +76,12 @@ def marginal_bytes(candidate: str, before: str, after: str, identifiers: str = I
     return len(pack((around + candidate).encode())) - len(pack(around.encode()))
 
 
+def novelty(candidate: str, before: str, after: str, identifiers: str = IDENTIFIERS) -> float:
+    """Marginal bytes a character; of the string as it is and of the words its case spells, the less."""
+    spelt = " ".join(WORD.findall(candidate)).lower()
+    return min(marginal_bytes(x, before, after, identifiers) for x in {candidate, spelt or candidate}) / len(candidate)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) by the three rules, in order."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -93,7 +107,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novel: float = NOVE
             if len({*whole}) < 6 or not (any(c.isdigit() for c in whole) or (not whole.islower() and not whole.isupper() and not whole.istitle())):
                 continue
             around = text[max(0, m.start() - CONTEXT) : m.start()], text[m.end() : m.end() + CONTEXT]
-            if marginal_bytes(whole, *around) >= novel * len(whole):
+            if novelty(whole, *around) >= novel:
                 out.append((m.start(), 3, m.end()))
     return out
 
