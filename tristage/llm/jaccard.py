@@ -42,6 +42,7 @@ WORDS = 5
 SIMILAR = 80  # percent
 CHUNK = 4096  # counters of a row of the sketch
 CELL = 256
+BROADCAST_ROWS = 1_000_000  # two or three numbers each
 HOT_ROWS = 20_000  # rows of a shingle in one salt, about
 _STEPS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -151,15 +152,23 @@ def _similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= SIMILAR * (len(a) + len(b) - both)
 
 
+def _small_side(ids: DataFrame) -> DataFrame:
+    """A table of ids, to be broadcast if it is counted to have at most ``BROADCAST_ROWS`` rows; beyond
+    that the join with it is a shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose texts link, checked on their whole sets."""
     pairs = cut(pairs.distinct())
-    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(need, "id", "left_semi"))
+    need = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = cut(texts.join(_small_side(need), "id", "left_semi"))
     turn = F.row_number().over(Window.partitionBy("b").orderBy("a"))
-    celled = pairs.withColumn("cell", F.floor((turn - 1) / CELL).cast("int"))
-    left = celled.join(texts.withColumnRenamed("id", "a"), "a").select("b", "cell", "a", "text")
-    right = celled.select("b", "cell").distinct().join(texts.withColumnRenamed("id", "b"), "b").select("b", "cell", "text")
+    celled = cut(pairs.withColumn("cell", F.floor((turn - 1) / CELL).cast("int")))
+    cells = cut(celled.select("b", "cell").distinct())
+    left = texts.withColumnRenamed("id", "a").join(_small_side(celled), "a").select("b", "cell", "a", "text")
+    right = texts.withColumnRenamed("id", "b").join(_small_side(cells), "b").select("b", "cell", "text")
     right = right.toDF("centre", "part", "text")  # other names than those of the left side
 
     def check(key: tuple, centre: pa.Table, others: pa.Table) -> pa.Table:
