@@ -43,43 +43,48 @@ def winners(keyed: DataFrame, salts: int) -> DataFrame:
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
     """``docs`` with keep_id, group_size, kept and text_sha256 added (their own such columns are replaced)."""
-    own = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
+    added = ("keep_id", "group_size", "kept", "text_sha256")
+    own = [c for c in docs.columns if c not in added]
+    id_type = docs.schema[id_col].dataType
     norm = normalised(F.col(text_col))
     keyed = docs.select(F.col(id_col).alias("id"), F.sha2(norm, 256).alias("digest"), norm.alias("norm"))
     found = winners(keyed, salts)
-    # Texts are only needed beyond this point where two of them share a digest.
     best = cut(
         found.groupBy("digest").agg(
             F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count("*").alias("texts")
         )
     )
     total = best.agg(F.sum("group_size")).first()[0] or 0
-    sized = best.where("texts = 1").select("digest", "keep_id", "group_size")
+    sized = best.where("texts = 1")
     hot = sized.where(F.col("group_size") * HOT_SHARES > total)
-    hot = hot.select(F.col("digest").alias("_hot"), F.col("keep_id").alias("_hot_id"), F.col("group_size").alias("_hot_n"))
+    hot = hot.select(F.col("digest").alias("hot"), F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_n"))
     cold = sized.where(F.col("group_size") * HOT_SHARES <= total)
-    cold = cold.select(F.col("digest").alias("_key"), F.col("keep_id").alias("_cold_id"), F.col("group_size").alias("_cold_n"))
-
-    rows = docs.select(*own, F.sha2(norm, 256).alias("text_sha256"))
-    rows = rows.join(F.broadcast(hot), F.col("text_sha256") == F.col("_hot"), "left")
-    own_key = F.concat(F.lit("#"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = rows.withColumn("_key", F.when(F.col("_hot").isNotNull(), own_key).otherwise(F.col("text_sha256")))
-    rows = rows.join(cold, "_key", "left")
-    if best.where("texts > 1").limit(1).count():
-        shared = best.where("texts > 1").select(F.col("digest").alias("_d"))
-        exact = found.join(shared, F.col("digest") == F.col("_d"), "left_semi").select(
-            F.col("digest").alias("_d"), F.col("norm").alias("_t"), F.col("keep_id").alias("_x_id"), F.col("group_size").alias("_x_n")
+    cold = cold.select(F.col("digest").alias("key"), F.col("keep_id").alias("cold_id"), F.col("group_size").alias("cold_n"))
+
+    # The documents' own columns travel as one struct, so their names meet none of those used here.
+    rows = docs.select(F.struct(*own).alias("row"), F.col(id_col).alias("id"), F.sha2(norm, 256).alias("digest"))
+    rows = rows.join(F.broadcast(hot), F.col("digest") == F.col("hot"), "left")
+    own_key = F.concat(F.lit("#"), F.coalesce(F.col("id").cast("string"), F.lit("")))
+    rows = rows.withColumn("key", F.when(F.col("hot").isNotNull(), own_key).otherwise(F.col("digest")))
+    rows = rows.join(cold, "key", "left")
+    shared = best.where("texts > 1").select("digest")
+    if shared.limit(1).count():
+        # Digests that several texts have: these are told apart by the texts themselves.
+        exact = found.join(shared, "digest", "left_semi").select(
+            F.col("digest").alias("x"), F.col("norm").alias("x_text"), F.col("keep_id").alias("x_id"), F.col("group_size").alias("x_n")
         )
-        rows = rows.join(exact, (F.col("text_sha256") == F.col("_d")) & (norm == F.col("_t")), "left")
+        same = (F.col("digest") == F.col("x")) & (normalised(F.col(f"row.{text_col}")) == F.col("x_text"))
+        rows = rows.join(exact, same, "left")
     else:
-        rows = rows.withColumns({"_x_id": F.lit(None).cast(docs.schema[id_col].dataType), "_x_n": F.lit(None).cast("bigint")})
-    size = F.coalesce("_hot_n", "_cold_n", "_x_n")
-    keep = F.when(F.col("_hot_n").isNotNull(), F.col("_hot_id")).when(F.col("_cold_n").isNotNull(), F.col("_cold_id")).otherwise(F.col("_x_id"))
-    rows = rows.withColumns({"keep_id": keep, "group_size": size})
-    # Rows that repeat the winner's id and text: one of them stays. The join is dealt by _key already.
-    turn = F.row_number().over(Window.partitionBy("_key", id_col, "text_sha256").orderBy("keep_id"))
-    return rows.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")) & (turn == 1)).select(
-        *own, "keep_id", "group_size", "kept", "text_sha256"
+        nothing = F.lit(None)
+        rows = rows.withColumns({"x_id": nothing.cast(id_type), "x_n": nothing.cast("bigint"), "x_text": nothing.cast("string")})
+    keep = F.when(F.col("hot_n").isNotNull(), F.col("hot_id")).when(F.col("cold_n").isNotNull(), F.col("cold_id")).otherwise(F.col("x_id"))
+    rows = rows.withColumns({"keep_id": keep, "group_size": F.coalesce("hot_n", "cold_n", "x_n")})
+    # Rows that repeat the winner's id and text: one of them stays. The join is dealt by key already.
+    turn = F.row_number().over(Window.partitionBy("key", "id", "digest", "x_text").orderBy("keep_id"))
+    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (turn == 1)
+    return rows.withColumn("kept", kept).select(
+        *[F.col("row").getField(c).alias(c) for c in own], "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
     )
 
 
