@@ -55,7 +55,7 @@ def shingles(column: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     first = np.cumsum(counts) - counts
     n = len(words)
     code = np.zeros(n, np.uint64)
-    for j in range(k):
+    for j in range(min(k, n)):
         code[: n - j] += words[j:] * _STEPS[j]
     left = np.repeat(first + counts, counts) - np.arange(n)
     code, row = code[left >= k], np.repeat(np.arange(len(counts)), counts)[left >= k]
@@ -293,4 +293,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     without words or without an id stay."""
     classes = similarity_classes(docs, id_col, text_col)
     gone = classes.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -36,7 +36,7 @@ SENSITIVE = re.compile(
     r"password|passwd|passphrase|secret|token|api[_ -]?key|credential|private[_ -]?key|authorization|bearer|auth[_-]?key",
     re.ASCII | re.IGNORECASE,
 )
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{12,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 # A superset of all of them in one linear pass; texts without a hit have no span.
 ANY = r"(?i)passw|passphrase|secret|token|api[_ -]?key|credential|private[_ -]?key|authoriz|bearer|auth[_-]?key|akia[a-z0-9]{16}|[0-9a-f]{24}"

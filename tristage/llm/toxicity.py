@@ -68,7 +68,7 @@ def _some_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     slots, owners = [], []
     for n in GRAMS:
         code = np.zeros(len(whole), np.uint64)
-        for i in range(n):
+        for i in range(min(n, len(whole))):
             code[: len(whole) - i] = code[: len(whole) - i] * WORD_BASE + values[i:]
         fits = left >= n
         slots.append((mix64(code[fits] + np.uint64(n)) % np.uint64(GRAM_SLOTS)).astype(np.int32))
