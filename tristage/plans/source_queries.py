@@ -203,11 +203,17 @@ def cluster_file(t):
     return R.read_table(t.spark, path, "rep bigint, member bigint", sep="\t", header=False)
 
 
-@query("state:s n:i")
+@query(
+    "state:s n:i",
+    """WITH f AS (SELECT (count(*) + 99) // 100 AS n FROM documents)
+    SELECT 'ok' AS state, n - 1 AS n FROM f WHERE n > 1
+    UNION ALL SELECT s, 1 FROM (VALUES ('mismatch'), ('missing')) AS v(s)""",
+)
 def file_integrity(t):
     """Every written file against a registry in which one hash is wrong and one file is missing."""
     path = scratch_path(t.spark, "raw")
-    t("documents").select("text").repartition(6, "text").write.text(path)
+    docs = t("documents").select("text")
+    docs.repartition(max(1, -(-docs.count() // 100))).write.text(path)
     known = t.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(
         F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.md5("content").alias("md5")
     )
@@ -218,6 +224,16 @@ def file_integrity(t):
     return R.verify_files(t.spark, path, registry, "part-*").groupBy("state").agg(F.count("*").alias("n"))
 
 
+@query("folder:s", "SELECT DISTINCT 'lang=' || lang || '/source=' || source AS folder FROM documents WHERE doc_id % 2 = 1")
+def stray_folders(t):
+    """Folders that an unpacked archive left below a source's own."""
+    path = scratch_path(t.spark, "raw")
+    docs = t("documents").select("text", "lang", "source", (F.col("doc_id") % 2).alias("half"))
+    docs.where("half = 0").drop("half").write.partitionBy("lang", "source").text(path)
+    docs.where("half = 1").write.mode("append").partitionBy("lang", "source", "half").text(path)
+    return R.stray_folders(t.spark, path)
+
+
 @query(
     "year:i n:i total:d",
     """SELECT year(o_orderdate) AS year, count(*) AS n, sum(CASE WHEN year(o_orderdate) = 2000 THEN 0 ELSE o_totalprice END) AS total
