@@ -81,6 +81,8 @@ def test_guards(spark):
     bad = spark.createDataFrame([(1, 0, 1, -1, -1, -1)], ", ".join(f"{c} int" for c in LABELS))
     with pytest.raises(O.InvalidData):
         O.require_valid(bad)
+    with pytest.raises(Exception, match="invalid label vector"):
+        O.checked(bad).collect()
     left = spark.createDataFrame([(1,), (2,)], "k int")
     with pytest.raises(O.InvalidData):
         O.require_matched(left, spark.createDataFrame([(1, "a")], "k int, v string"), "k")

@@ -47,6 +47,12 @@ def require_valid(df: DataFrame) -> DataFrame:
     return df
 
 
+def checked(df: DataFrame) -> DataFrame:
+    """``require_valid`` within the plan: a malformed vector fails the job that meets it."""
+    bad = F.raise_error(F.concat(F.lit("invalid label vector: "), F.to_json(F.struct(*[c for c in ("record_id", *LABELS) if c in df.columns]))))
+    return df.where(F.when(L.is_valid(L.as_array(STAGES)), F.lit(True)).otherwise(bad.cast("boolean")))
+
+
 def require_domain(df: DataFrame, col: str, allowed: list) -> DataFrame:
     """Fail on values outside the domain (NULL is allowed)."""
     unknown = df.where(F.col(col).isNotNull() & ~F.col(col).isin(allowed)).select(col).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tristage.functions.hashing import keyed, kfold_of, uniform
 from tristage.operators.ordering import dense_index, join_groups
+from tristage.session import cut
 
 
 def representative(df: DataFrame, group: list[str], id_col: str, seed: int) -> DataFrame:
@@ -67,7 +68,9 @@ def group_sides(df: DataFrame, is_test: Column, group: str) -> DataFrame:
 
 
 def group_split(df: DataFrame, is_test: Column, group: str) -> DataFrame:
-    return df.join(group_sides(df, is_test, group), group, "left")
+    """The sides are a table, so that the join is between plain shuffles, which the adaptive skew join
+    can split at a giant group; over an aggregate it cannot."""
+    return df.join(cut(group_sides(df, is_test, group)), group, "left")
 
 
 def greedy_folds(sizes: DataFrame, name: str, size: str, k: int, min_n: int = 0) -> DataFrame:
@@ -119,7 +122,7 @@ def fold_train_test(df: DataFrame, folds: DataFrame, batch: str, group: str, k:
     )
     return (
         assigned.withColumnRenamed("fold", "_own")
-        .transform(lambda d: join_groups(d, touched, [group]))
+        .transform(lambda d: join_groups(d, cut(touched), [group]))
         .withColumn("_role", F.explode(roles))
         .select(*df.columns, F.col("_role.fold").alias("fold"), F.col("_role.side").alias("side"))
     )

@@ -377,7 +377,7 @@ def pooled(t):
         t("benchmark"), "benchmark", record_id=F.concat(F.lit("b:"), F.col("item_id")), sequence=F.col("text"),
         seq_len=F.length("text"),
     ).withColumn("exclusion_reason", F.when(F.col("record_id").endswith("7"), "duplicate_target").otherwise(""))
-    return O.require_valid(O.unify([docs, talk, items], "documents", "benchmark", "label_express"))
+    return O.checked(O.unify([docs, talk, items], "documents", "benchmark", "label_express"))
 
 
 @query(
