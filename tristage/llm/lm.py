@@ -37,7 +37,7 @@ from tristage.session import cut
 END = mix64(np.array([1], np.uint64))[0]
 _LEFT, _RIGHT = mix64(np.array([2, 3], np.uint64)) | np.uint64(1)
 LEARN, DELETED, OTHER = 0, 1, 2  # kinds of texts: counted, counted and used for the weights, only scored
-LEAST_CHARS = 4_000_000
+LEAST_CHARS = 2_000_000
 BUCKETS = 40
 BINS = 48  # of each probability's logarithm, in the summary that the weights are learnt from
 ROUNDS = 60
