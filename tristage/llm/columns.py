@@ -37,6 +37,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iter
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(piece)) + 1, [len(sizes)]))
     for a, b in zip(cuts[:-1], cuts[1:]):
         yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # workers are reused by the stages that follow
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

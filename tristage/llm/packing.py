@@ -39,7 +39,7 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = word_tokenizer(tokenizer), np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for batch in slices(whole, text_col, 8 << 20):
+            for batch in slices(whole, text_col, 2 << 20):
                 rows, ids = [], []
                 for row, text in enumerate(batch.column(text_col).to_pylist()):
                     data = memoryview(own.encode(text or "") + end)

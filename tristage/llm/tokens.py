@@ -15,7 +15,7 @@ import re
 
 import numpy as np
 
-CACHE_WORDS = 350_000  # of each of the two generations
+CACHE_WORDS = 150_000  # of each of the two generations
 # Composed Latin letters whose lower case is one such letter.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž]+)([.,]?)")
 

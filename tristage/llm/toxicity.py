@@ -347,7 +347,7 @@ def score(df: DataFrame, net: Network, text_col: str = "text", score_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(shared.value)
         for whole in batches:
-            for batch in slices(whole, text_col, 4 << 20):
+            for batch in slices(whole, text_col, 2 << 20):
                 scores = pa.array(own.score(batch.column(text_col)), pa.float64())
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], scores], [*kept, score_col])
 
