@@ -5,7 +5,7 @@ holds the merge rank of every adjacent pair. The pair with the least rank (ties:
 merged and its new neighbours are queued; entries whose symbols have changed meanwhile are stale and
 are skipped. Decoding concatenates the bytes of the vocabulary's strings.
 
-Encodings of pre-tokens are kept in a bounded cache per Python worker. Null text counts as empty,
+Encodings of chunks and pre-tokens are kept in bounded caches per Python worker. Null text counts as empty,
 and texts are encoded whole, whatever their length.
 """
 
@@ -31,7 +31,8 @@ PRE_TOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p
 # there. Other white space than ASCII's takes the whole-text way.
 CHUNK = re.compile(r"[ \t\n\v\f\r]*[^ \t\n\v\f\r]+|[ \t\n\v\f\r]+")
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000  # of a generation
+LONGEST_CACHED = 64  # characters
 
 
 def byte_letters() -> list[str]:
@@ -61,8 +62,12 @@ class Codec:
             self.strings[i] = token.encode()
         found = sorted(self.added, key=len, reverse=True)
         self.split_added = re.compile("(" + "|".join(map(re.escape, found)) + ")") if found else None
+        # Two generations of each cache: a full one becomes the last one, and what it holds that is
+        # still in use comes over.
         self.chunks: dict[str, bytes] = {}
+        self.chunks_before: dict[str, bytes] = {}
         self.pre_tokens: dict[str, bytes] = {}
+        self.pre_tokens_before: dict[str, bytes] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Apply the merges to a list of symbol ids."""
@@ -92,30 +97,33 @@ class Codec:
     def _pre_token(self, piece: str) -> bytes:
         ids = self.pre_tokens.get(piece)
         if ids is None:
-            symbols = [self.byte_ids[b] for b in piece.encode()]
-            ids = np.array(self.merge(symbols), "<i4").tobytes()
+            ids = self.pre_tokens_before.get(piece)
+            if ids is None:
+                ids = np.array(self.merge([self.byte_ids[b] for b in piece.encode()]), "<i4").tobytes()
             if len(self.pre_tokens) >= CACHE_ENTRIES:
-                self.pre_tokens.clear()
-            if len(piece) <= 64:
+                self.pre_tokens_before, self.pre_tokens = self.pre_tokens, {}
+            if len(piece) <= LONGEST_CACHED:
                 self.pre_tokens[piece] = ids
         return ids
 
     def _plain(self, text: str) -> bytes:
         if OTHER_SPACE.search(text):
             return b"".join(map(self._pre_token, PRE_TOKEN.findall(text)))
-        pieces, chunks = CHUNK.findall(text), self.chunks
+        pieces = CHUNK.findall(text)
         try:
-            return b"".join(map(chunks.__getitem__, pieces))
+            return b"".join(map(self.chunks.__getitem__, pieces))
         except KeyError:
             pass
-        out = []
+        if len(self.chunks) >= CACHE_ENTRIES:
+            self.chunks_before, self.chunks = self.chunks, {}
+        chunks, before, out = self.chunks, self.chunks_before, []
         for piece in pieces:
             ids = chunks.get(piece)
             if ids is None:
-                ids = b"".join(map(self._pre_token, PRE_TOKEN.findall(piece)))
-                if len(chunks) >= CACHE_ENTRIES:
-                    chunks.clear()
-                if len(piece) <= 64:
+                ids = before.get(piece)
+                if ids is None:
+                    ids = b"".join(map(self._pre_token, PRE_TOKEN.findall(piece)))
+                if len(piece) <= LONGEST_CACHED:
                     chunks[piece] = ids
             out.append(ids)
         return b"".join(out)
@@ -153,7 +161,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for whole in batches:
-            for batch in slices(whole, text_col, 4 << 20):
+            for batch in slices(whole, text_col, 2 << 20):
                 ids = [own.encode(t or "") for t in batch.column(text_col).to_pylist()]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
@@ -168,7 +176,9 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            texts = [own.decode(x or []) for x in batch.column(ids_col).to_pylist()]
+            column = batch.column(ids_col)
+            flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            texts = [own.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])]
             yield _put(batch, text_col, pa.array(texts, pa.string()))
 
     return df.mapInArrow(run, _with(df, text_col, StringType()))
