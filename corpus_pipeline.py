@@ -37,7 +37,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token sequences: every piece of every document with its ids and its place."""
-    pieces = packing.token_pieces(docs, tokenizer_path(WORD_BPE))
+    # The workers still hold memory of the stages before, so this one keeps fewer words than op4.
+    pieces = packing.token_pieces(docs, tokenizer_path(WORD_BPE), cache_words=120_000)
     return packing.pack(pieces, docs.count())
 
 

@@ -30,14 +30,17 @@ GROUP = 20_000
 
 def token_pieces(
     docs: DataFrame, tokenizer: str, end_id: int = 0, sequence: int = SEQUENCE, id_col: str = "doc_id",
-    text_col: str = "text", with_ids: bool = True,
+    text_col: str = "text", with_ids: bool = True, cache_words: int | None = None,
 ) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of all documents."""
+    """(doc_id, piece, start, length, ids_crc32[, ids]) of all documents.
+
+    ``cache_words``: how many words a worker keeps the ids of; it trades memory for time.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     shape = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = word_tokenizer(tokenizer), np.array([end_id], "<u4").tobytes()
+        own, end = word_tokenizer(tokenizer, cache_words), np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for batch in slices(whole, text_col, 2 << 20):
                 rows, ids = [], []

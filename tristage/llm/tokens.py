@@ -12,16 +12,18 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 
 import numpy as np
 
-CACHE_WORDS = 150_000  # of each of the two generations
+CACHE_WORDS = 350_000  # of each of the two generations
 # Composed Latin letters whose lower case is one such letter.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž]+)([.,]?)")
 
 
 class WordTokenizer:
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int | None = None):
+        self.cache_words = cache_words or CACHE_WORDS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's cores are Spark's to give out
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -46,8 +48,8 @@ class WordTokenizer:
         ids = self.stems.get(stem)
         if ids is None:
             found = self.model.tokenize(stem if stem.isascii() else stem.translate(self.shown))
-            ids = np.array([t.id for t in found], "<u4").tobytes()
-            if len(self.stems) >= CACHE_WORDS:
+            ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            if len(self.stems) >= self.cache_words:
                 self.stems.clear()
             self.stems[stem] = ids
         return ids
@@ -71,7 +73,7 @@ class WordTokenizer:
         try:
             return b"".join(map(recent.__getitem__, words))
         except KeyError:
-            if len(recent) > CACHE_WORDS:  # what is still in use comes over from the last generation
+            if len(recent) > self.cache_words:  # what is still in use comes over from the last generation
                 self.before, self.recent = recent, {"": b""}
                 recent = self.recent
             self._learn(list({w for w in words if w not in recent}))
@@ -79,6 +81,6 @@ class WordTokenizer:
 
 
 @functools.lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> WordTokenizer:
+def word_tokenizer(path: str, cache_words: int | None = None) -> WordTokenizer:
     """One tokenizer per worker; tasks that reuse the worker reuse its cache."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, cache_words)
