@@ -110,6 +110,31 @@ def test_redact_masks_spans_once(spark):
     assert secrets.redact(df.limit(0)).count() == 0
 
 
+def test_novel_strings_on_both_sides_to_their_own_end():
+    rng = random.Random(11)
+    random_string = lambda n, alphabet: "".join(rng.choice(alphabet) for _ in range(n))
+    mixed, lower = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz"
+    key, short, letters = random_string(24, mixed), random_string(12, mixed), random_string(20, lower)
+    long = random_string(9000, mixed)
+    for text, value in [
+        (f"{key} # api token", key), (f'"{key}": "my secret"', key), (f"the secret file {long} end", long),
+        (f"the password is {short} now", short), (f"the password is {letters} now", letters),
+        (f"my token {short}", short), (f"token_{key}", f"_{key}"), (f"x_{key}_passphrase", f"x_{key}_"),
+    ]:
+        assert [text[s:e] for s, _, e in secrets.spans_of(text)] == [value]
+    near, far = f"{key}{' ' * 64}secret{' ' * 64}{short}", f"{key}{' ' * 65}secret{' ' * 65}{short}"
+    assert len(secrets.spans_of(near)) == 2 and secrets.spans_of(far) == []
+
+
+def test_novel_rest_beside_base_spans_leaves_no_tail():
+    hexes = "0123456789abcdef01234567"
+    head, tail = "Zk9xQv7LmT2R", "XyQ4vBn8"
+    text = f"the secret {head}{hexes}{tail} here"
+    assert secrets.masked(text, "*") == "the secret *** here"
+    assert [k for _, k, _ in secrets.spans_of(text)] == [3, 2, 3]
+    assert secrets.masked("config.db.password=xT7kPq9LmZ2v", "*") == "config.db.*"
+
+
 # --- chat formatting
 
 

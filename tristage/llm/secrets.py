@@ -1,12 +1,14 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
 Three rules give the base spans: assignments of a credential, access keys, long hex strings. Beyond
-them the method looks at every string without spaces that stands near a sensitive word. Its novelty
-is the number of bytes that it adds to the compressed surrounding text, when the compressor is primed
-with a dictionary of identifiers and common syllables, over its length. Names, words and paths repeat
-what the context or the dictionary holds and cost little; random strings cost nearly their entropy
-and are reported as ``novel``. Base spans always stay; a candidate that overlaps one is not reported
-again.
+them the method looks at every string without spaces that stands near a sensitive word, before or
+behind it, from ``LEAST`` characters on and to its own end; strings that hold such a word are cut
+there. Its novelty is the number of bytes that it adds to the compressed surrounding text, when the
+compressor is primed with a dictionary of identifiers, common syllables and long words, over its
+length. ``PROSE`` goes before the surrounding text, so that letters are entropy coded in short texts
+too. Names, words and paths repeat what the context or the dictionary holds and cost little; random
+strings cost nearly their entropy and are reported as ``novel``. Base spans always stay; of a candidate that overlaps one, what the base
+spans leave uncovered is reported if the candidate is novel, or else if that part itself is.
 
 Whole texts are scanned; offsets are code points, ends exclusive. Null text counts as empty and gives
 no span.
@@ -14,7 +16,9 @@ no span.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -36,11 +40,12 @@ SENSITIVE = re.compile(
     r"password|passwd|passphrase|secret|token|api[_ -]?key|credential|private[_ -]?key|authorization|bearer|auth[_-]?key",
     re.ASCII | re.IGNORECASE,
 )
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+LEAST = 12  # characters of a candidate
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{%d,}" % LEAST)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 # A superset of all of them in one linear pass; texts without a hit have no span.
 ANY = r"(?i)passw|passphrase|secret|token|api[_ -]?key|credential|private[_ -]?key|authoriz|bearer|auth[_-]?key|akia[a-z0-9]{16}|[0-9a-f]{24}"
-REACH = 64  # how far before a candidate the sensitive word may end
+REACH = 64  # characters between a candidate and the sensitive word at most
 CONTEXT = 256  # surrounding text on either side
 NOVEL = 0.62  # bytes a character; random hex costs about 0.5 to 0.6, random base64 about 0.75 to 0.85
 # Identifiers and syllables that a name or a word is made of.
@@ -59,9 +64,33 @@ IDENTIFIERS = (
     "module package library framework database query result error message warning exception status state property "
     "attribute element node parent child root leaf tree graph model view controller component template style script "
     "order product customer account address email phone number street city country code id type kind group category "
+    "administration advertisement announcement anniversary appreciation approximately appropriate architecture "
+    "arrangement association authentication automatically availability certificate championship characteristic "
+    "circumstances combination comfortable commercial communication comparison competition comprehensive concentration "
+    "configuration congratulations consequently consideration construction contribution conversation corresponding "
+    "demonstration description destination determination development difference disappointed discrimination "
+    "distribution documentation educational electronic encouragement entertainment environmental established "
+    "examination experience experimental explanation extraordinary fundamental furthermore generation government "
+    "headquarters identification implementation improvement independent individual industrial infrastructure "
+    "initialization instruction international interpretation introduction investigation investment kindergarten "
+    "knowledgeable legislation maintenance manufacturer mathematical measurement multiplication neighborhood "
+    "nevertheless nonetheless notification observation occasionally opportunity organization participation partnership "
+    "particularly performance permanently personality perspective photograph possibility preparation presentation "
+    "professional psychological publication recognition recommendation refrigerator registration relationship "
+    "representative requirements responsibility restaurant restrictions revolutionary satisfaction significant "
+    "simultaneously sophisticated specification straightforward subsequently substantial successfully sufficiently "
+    "technological temperature temporarily theoretical traditional transformation transportation understanding "
+    "unfortunately universities "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 -------- ======== ........ ________"
 )
 
+PROSE = (
+    "The quick way to find out what a word is worth is to see how much of it was said before; most of what people write "
+    "is made of the same few letters, and a name or a path is no other. Der Weg ist nicht so weit, und wer ihn geht, "
+    "kommt bald an das Ziel. El camino no es largo para quien lo conoce, et le reste du voyage se fait sans peine. "
+    "Jump over lazy dogs, vex big fjords, quiz my jack box. "
+)
+
 
 @functools.lru_cache(maxsize=4)
 def _compressor(identifiers: str) -> zstandard.ZstdCompressor:
@@ -72,7 +101,7 @@ def _compressor(identifiers: str) -> zstandard.ZstdCompressor:
 def marginal_bytes(candidate: str, before: str, after: str, identifiers: str = IDENTIFIERS) -> int:
     """Compressed bytes that the candidate adds to the text around it."""
     pack = _compressor(identifiers).compress
-    around = before + "\n" + after + "\n"
+    around = PROSE + before + "\n" + after + "\n"
     return len(pack((around + candidate).encode())) - len(pack(around.encode()))
 
 
@@ -91,24 +120,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _candidates(text: str, words: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the strings within ``REACH`` of a word of ``words`` on either side, cut at these words."""
+    starts, ends = [s for s, _ in words], [e for _, e in words]
+    for m in CANDIDATE.finditer(text):
+        at = m.start()
+        inside = words[bisect.bisect_right(ends, m.start()) : bisect.bisect_left(starts, m.end())]
+        for s, e in [*inside, (m.end(), m.end())]:
+            if s - at >= LEAST:
+                i = bisect.bisect_left(starts, s)  # words before it end in front of ``at``
+                if (i and at - ends[i - 1] <= REACH) or (i < len(starts) and starts[i] - s <= REACH):
+                    yield at, s
+            at = max(at, e)
+
+
+def _uncovered(start: int, end: int, base: list[tuple[int, int, int]], reach: list[int]) -> list[tuple[int, int]]:
+    """The parts of start to end outside the base spans; ``reach`` is the running maximum of their ends."""
+    out = []
+    for s, _, e in itertools.islice(base, bisect.bisect_right(reach, start), None):
+        if s >= end:
+            break
+        if s > start:
+            out.append((start, s))
+        start = max(start, e)
+    return [*out, (start, end)] if start < end else out
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novel: float = NOVEL) -> list[tuple[int, int, int]]:
-    """Incompressible strings that follow a sensitive word within ``REACH`` and overlap no base span."""
-    out, seen = [], -1
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 4096)):
-            if m.start() > word.end() + REACH:
-                break
-            if m.start() <= seen or (m.start() == word.end() and text[m.start()].isalnum()):
-                continue  # measured already, or the rest of the word itself
-            seen = m.start()
-            if any(s < m.end() and m.start() < e for s, _, e in base):
-                continue
-            whole = m[0]
-            if len({*whole}) < 6 or not (any(c.isdigit() for c in whole) or (not whole.islower() and not whole.isupper() and not whole.istitle())):
-                continue
-            around = text[max(0, m.start() - CONTEXT) : m.start()], text[m.end() : m.end() + CONTEXT]
-            if novelty(whole, *around) >= novel:
-                out.append((m.start(), 3, m.end()))
+    """Incompressible strings near a sensitive word, or what the base spans leave uncovered of them."""
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    reach = [*itertools.accumulate((e for _, _, e in base), max)]
+
+    def is_novel(a: int, b: int) -> bool:
+        return novelty(text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]) >= novel
+
+    out = []
+    for whole in _candidates(text, words) if words else ():
+        rest = _uncovered(*whole, base, reach)
+        if rest and not is_novel(*whole):
+            rest = [x for x in rest if x != whole and x[1] - x[0] >= LEAST and is_novel(*x)]
+        out += [(a, 3, b) for a, b in rest]
     return out
 
 
