@@ -155,6 +155,23 @@ def test_grammar_of_short_sequences(ids):
     assert repair.expand(symbols, rules, 4).tolist() == ids.tolist()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_grammar_goes_on_until_no_pair_is_frequent(seed):
+    rng = np.random.default_rng(seed)
+    passage = rng.integers(0, 50, 700)
+    ids = np.concatenate([np.concatenate([passage, rng.integers(0, 50, 30)]) for _ in range(60)]).astype(np.uint32)
+    rules, sizes, symbols = repair.compress(ids, 50, least=24)
+    pairs = np.unique((symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:], return_counts=True)
+    assert pairs[1].max() < 24 and sizes.max() > 16
+    assert (repair.expand(symbols, rules, 50) == ids).all()
+
+
+def test_grammar_of_copies_shrinks_below_a_sixteenth():
+    ids = np.tile(np.arange(64, dtype=np.uint32), 4096)
+    rules, sizes, symbols = repair.compress(ids, 64)
+    assert len(symbols) < len(ids) // 1000 and (repair.expand(symbols, rules, 64) == ids).all()
+
+
 def test_token_files(spark, tmp_path, libraries):
     docs = [(i, t) for i, t in enumerate(odd_texts(80, 6))] + [(200, "word " * 3000), (201, None), (202, ""), (203, "tie"), (203, "tie"), (None, "no id")]
     random.Random(1).shuffle(docs)

@@ -2,9 +2,9 @@
 
 Documents are dealt by ranges of their id and sorted, so the files hold them in ascending order. A
 task cuts its documents into blocks of about ``BLOCK_IDS`` ids. In each block frequent pairs of
-adjacent ids or symbols are replaced by new symbols, again and again, up to ``MOST_ROUNDS`` times or
-until no pair is frequent: the rules form a grammar. A block is one row of a Parquet table, so writing and reading work on any store that Spark
-knows and survive lost tasks:
+adjacent ids or symbols are replaced by new symbols, again and again, until no pair is frequent: the
+rules form a grammar. A block is one row of a Parquet table, so writing and reading work on any store
+that Spark knows and survive lost tasks:
 
 | column | content |
 |---|---|
@@ -37,8 +37,7 @@ from tristage.llm.columns import text_or_empty
 from tristage.llm.tokens import word_tokenizer
 
 BLOCK_IDS = 1 << 20
-LEAST_PAIR = 32  # a pair is replaced if it occurs so often in a block
-MOST_ROUNDS = 4
+LEAST_PAIR = 24  # a pair is replaced if it occurs so often in a block
 BLOCKS = "shard int, block int, first long, doc_ids array<long>, lengths array<long>, terminals long, rules binary, expansions binary, symbols binary"
 
 
@@ -61,26 +60,29 @@ def compress(ids: np.ndarray, terminals: int, least: int = LEAST_PAIR) -> tuple[
     """(rules, expansion lengths, symbols) of a sequence of ids below ``terminals``.
 
     A round takes all pairs that occur at least ``least`` times and replaces their occurrences from
-    left to right; of overlapping occurrences the left one is taken.
+    left to right; of overlapping occurrences the left one is taken. No occurrence of a taken pair is
+    left and pairs of older symbols never grow, so a later round counts only pairs with a symbol of
+    the round before it.
     """
     symbols = ids.astype(np.uint32)
-    rules, sizes, made = [np.zeros((0, 2), np.uint32)], np.ones(terminals, np.int64), 0
-    for _ in range(MOST_ROUNDS):
-        if len(symbols) < 2:
-            break
-        pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+    rules, sizes, made, fresh = [np.zeros((0, 2), np.uint32)], np.ones(terminals, np.int64), 0, 0
+    while len(symbols) >= 2:
+        at = np.flatnonzero((symbols[:-1] >= fresh) | (symbols[1:] >= fresh))
+        pairs = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
         slot = _slots(pairs)
-        at = np.flatnonzero((np.bincount(slot, minlength=1 << 21) >= least)[slot])
-        ordered = np.sort(pairs[at])
+        likely = np.flatnonzero((np.bincount(slot, minlength=1 << 21) >= least)[slot])
+        at, pairs, slot = at[likely], pairs[likely], slot[likely]
+        ordered = np.sort(pairs)
         edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
         frequent = ordered[edges[:-1][np.diff(edges) >= least]] if len(ordered) else ordered
         if not len(frequent):
             break
         marked = np.zeros(1 << 21, bool)
         marked[_slots(frequent)] = True
-        at = at[marked[slot[at]]]
-        place = np.searchsorted(frequent, pairs[at])
-        found = frequent[np.minimum(place, len(frequent) - 1)] == pairs[at]
+        hot = np.flatnonzero(marked[slot])
+        at, pairs = at[hot], pairs[hot]
+        place = np.searchsorted(frequent, pairs)
+        found = frequent[np.minimum(place, len(frequent) - 1)] == pairs
         hit, place = at[found], place[found]
         # In a run of overlapping occurrences every second one is taken.
         begins = np.concatenate(([True], np.diff(hit) > 1))
@@ -93,6 +95,7 @@ def compress(ids: np.ndarray, terminals: int, least: int = LEAST_PAIR) -> tuple[
         symbols = symbols[keep]
         rules.append(np.stack([frequent >> np.uint64(32), frequent & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         sizes = np.concatenate([sizes, sizes[rules[-1][:, 0]] + sizes[rules[-1][:, 1]]])
+        fresh = terminals + made
         made += len(frequent)
     return np.concatenate(rules).ravel(), sizes[terminals:].astype(np.uint32), symbols
 
