@@ -22,3 +22,9 @@ def con():
 def test_query(spark, con, name):
     result, _ = compare(name, spark, con, SF, QUERIES, ORACLES)
     assert result.startswith(("ok", "rows-only")), result
+
+
+def test_intervals_come_from_2000_replicates_of_five_seeds(spark):
+    got = {r["seed"]: r["n_draws"] for r in QUERIES["bootstrap_intervals"](spark, SF).collect()}
+    assert sorted(got) == [20260930 + 10007 * i for i in range(5)]
+    assert all(1900 < n <= 2000 for n in got.values())  # replicates of one class are left out

@@ -10,8 +10,8 @@ from tristage.plans.bindings import DOC_SCORES_SQL, LINES_SQL, LINE_SCORES_SQL,
 from tristage.plans.metric_queries import ap_sql, top_sql
 from tristage.plans.registry import query
 
-N_BOOT = 100
-SEEDS = [20260930, 20270937]
+N_BOOT = 2000
+SEEDS = [20260930 + 10007 * i for i in range(5)]
 
 
 def _boot_sql(seeds) -> str:
