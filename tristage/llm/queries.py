@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tristage.llm import bpe, chat, exact_dedup, jaccard, lm, packing, repair, secrets, topk, toxicity
+from tristage.llm import bpe, chat, exact_dedup, jaccard, lm, packing, repair, runs, secrets, topk, toxicity
 from tristage.llm.columns import crc_of_id, table
 from tristage.session import scratch_path
 
@@ -119,6 +121,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_repeats(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Every tenth text, by the checksum of its id, repeats a stretch of its words up to its end."""
+    rest, n = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()), len(words)
+    if rest % 10 or not n:
+        return words
+    g = rest // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return runs.digests(runs.periodic_runs(docs, rewrite=with_repeats))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_lm_score": op2_lm_score,
@@ -130,5 +148,6 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_top_k": OP5_SQL}
