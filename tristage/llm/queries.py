@@ -6,12 +6,13 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tristage.llm import bpe, chat, exact_dedup, jaccard, lm, packing, repair, runs, secrets, topk, toxicity
+from tristage.llm import alignment, bpe, chat, exact_dedup, jaccard, lm, packing, repair, runs, secrets, topk, toxicity
 from tristage.llm.columns import crc_of_id, table
 from tristage.session import scratch_path
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -137,6 +138,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.periodic_runs(docs, rewrite=with_repeats))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align_corpus(docs, tokenizer_path(BYTE_BPE), tokenizer_path(PIECE_BPE))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_lm_score": op2_lm_score,
@@ -149,5 +155,6 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_top_k": OP5_SQL}
