@@ -6,9 +6,9 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tristage.llm import alignment, bpe, chat, exact_dedup, jaccard, lm, packing, repair, runs, secrets, topk, toxicity
+from tristage.llm import alignment, bpe, chat, exact_dedup, jaccard, lm, packing, repair, runs, secrets, topk, toxicity, warc
 from tristage.llm.columns import crc_of_id, table
-from tristage.session import scratch_path
+from tristage.session import cut, scratch_path
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -138,6 +138,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.periodic_runs(docs, rewrite=with_repeats))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written, indexed, looked up by their urls, and read back."""
+    pages = table(spark, sf_dir, "pages")
+    captures = warc.write_archives(pages, scratch_path(spark, "warc"))
+    index = warc.build_index(captures, scratch_path(spark, "captures"))
+    found = cut(warc.look_up(index, pages))
+    records = warc.read_records(found, pages.schema["page_id"].dataType.simpleString())
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return alignment.align_corpus(docs, tokenizer_path(BYTE_BPE), tokenizer_path(PIECE_BPE))
@@ -155,6 +165,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_warc": op12_warc,
     "op13_token_alignment": op13_token_alignment,
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_top_k": OP5_SQL}
