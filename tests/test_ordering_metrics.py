@@ -1,5 +1,8 @@
+import hashlib
+import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +82,61 @@ def test_bootstrap_resamples_whole_groups(spark):
     assert [r["pr_auc_over_base"] for r in one] == pytest.approx([r["pr_auc_over_base"] for r in two])
 
 
+def _plain_bootstrap(rows, n_boot, seed, k, prefix=""):
+    """(rep, PR-AUC/base, lift) of rows (id, group, y, score), drawn and counted one by one."""
+    groups = sorted({r[1] for r in rows}, key=lambda g: (g is not None, g))
+    out = []
+    for rep in range(n_boot):
+        text = [f"{seed}{prefix}:{rep}:{i}".encode() for i in range(len(groups))]
+        drawn = [int.from_bytes(hashlib.sha256(x).digest()[:8], "big") % len(groups) for x in text]
+        times = Counter(groups[g] for g in drawn)
+        own = sorted(((r, times[r[1]]) for r in rows if times[r[1]]), key=lambda x: (-x[0][3], x[0][0]))
+        n, pos = sum(m for _, m in own), sum(m * r[2] for r, m in own)
+        if not 0 < pos < n:
+            continue
+        ap = seen = hits = 0
+        for _, cell in itertools.groupby(own, lambda x: x[0][3]):
+            cell = list(cell)
+            here = sum(m * r[2] for r, m in cell)
+            seen, hits = seen + sum(m for _, m in cell), hits + here
+            ap += here * hits / seen
+        flat = [r[2] for r, m in own for _ in range(m)]
+        out.append((rep, ap / pos / (pos / n), sum(flat[:k]) / k / (pos / n) if n >= k else None))
+    return out
+
+
+@pytest.mark.parametrize("n_buckets", [None, 3])
+def test_bootstrap_is_that_of_rows_drawn_one_by_one(spark, n_buckets, monkeypatch):
+    monkeypatch.setattr(S, "PART_ROWS", 7)  # scores go on over parts
+    rnd = random.Random(9)
+    rows = []
+    for fold in ("a", "b", None):
+        for i in range(90):
+            group = None if rnd.random() < 0.3 else rnd.randrange(12)
+            rows.append((fold, i, group, int(rnd.random() < 0.3), float(rnd.randrange(25))))
+    rows += [("one class", i, i % 3, 1, float(i)) for i in range(9)]
+    df = spark.createDataFrame(rows, "fold string, id int, g int, y int, score double").repartition(4)
+    both = df.withColumn("run", F.lit("up")).unionByName(df.withColumns({"run": F.lit("down"), "score": -F.col("score")}))
+    got = S.cluster_bootstrap(both, "g", 25, [4, 5], ["fold"], k=30, n_buckets=n_buckets, run="run").collect()
+    found = {(r["fold"], r["run"], r["seed"], r["rep"]): (r["pr_auc_over_base"], r["lift"]) for r in got}
+    assert len(found) == len(got)
+    want = {}
+    for fold in ("a", "b", None, "one class"):
+        for run, sign in (("up", 1), ("down", -1)):
+            own = [(i, g, y, sign * s) for f, i, g, y, s in rows if f == fold]
+            for seed in (4, 5):
+                prefix = "" if fold is None else f":{fold}"
+                want |= {(fold, run, seed, rep): (v, lift) for rep, v, lift in _plain_bootstrap(own, 25, seed, 30, prefix)}
+    assert set(found) == set(want)
+    for key, (value, lift) in want.items():
+        assert found[key][0] == pytest.approx(value) and found[key][1] == pytest.approx(lift)
+
+
+def test_bootstrap_of_no_rows(spark):
+    empty = spark.createDataFrame([], "id int, g int, y int, score double")
+    assert S.cluster_bootstrap(empty, "g", 5, [1]).count() == 0
+
+
 def test_verdict_classes(spark):
     rows = [("a", 1.2, 1.1, 1.3, True), ("b", 1.05, 1.02, 1.08, True), ("c", 1.0, 0.9, 1.1, True),
             ("d", 0.8, 0.7, 0.9, True), ("e", 1.3, 1.2, 1.4, False)]

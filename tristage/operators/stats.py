@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tristage.functions.hashing import keyed, modulo
 from tristage.functions.numeric import hypergeometric_cdf, two_sided_p
-from tristage.operators.metrics import average_precision_of, cells
+from tristage.operators.metrics import average_precision
 from tristage.operators.ordering import (
     BUCKETS,
     dense_index,
     exact_quantiles,
+    join_groups,
     running,
     with_buckets,
 )
-from tristage.session import cut
+from tristage.session import cut, with_package
 
 CLASSES = ("real", "borderline", "weak", "indistinguishable", "reversed")
 
@@ -52,6 +59,11 @@ def bootstrap_draws(
     return picked.groupBy(*by, "seed", "rep", "index").agg(F.count("*").alias("mult"))
 
 
+PART_ROWS = 1024  # of a row of packed scores
+HELD_BYTES = 32 << 20  # of the multiplicities that one task holds
+BUCKET_ROWS = 500_000
+
+
 def cluster_bootstrap(
     scores: DataFrame,
     group: str,
@@ -60,41 +72,158 @@ def cluster_bootstrap(
     by: list[str] | None = None,
     k: int = 100,
     id_col: str = "id",
-    n_buckets: int = 16,
+    n_buckets: int | None = None,
+    run: str | None = None,
 ) -> DataFrame:
     """PR-AUC/base and lift@k of every replicate that resamples whole groups with replacement.
 
-    A row counts as often as its group was drawn. The top k takes rows in score order (ties by id)
-    until their multiplicities reach k; the row crossing k counts for the missing part only. Draws
-    with a single class are left out, and lift is NULL when a draw has fewer than k rows. All
-    replicates share the score buckets of the original rows.
+    A row counts as often as its group was drawn; a NULL group is one group, numbered first. The top k
+    takes rows in score order (ties by id) until their multiplicities reach k; the row crossing k counts
+    for the missing part only. Draws with a single class are left out, and lift is NULL when a draw has
+    fewer than k rows. The draws are those of ``bootstrap_draws``.
+
+    Rows are sorted and packed once. A task takes a block of replicates: it draws their multiplicities,
+    a vector per group, and walks over the packed rows in score order, summing the vectors of the rows
+    element by element. So rows never meet single replicates in a join; a packed row is copied once per
+    block. A task holds the multiplicities of one block, of all groups of a key and at least one
+    replicate: four bytes for a group. Runs told apart by the column ``run``, other scores of the same
+    rows, share their draws.
     """
     by = by or []
-    # The rows and the draws are written once each: their product is read twice, as is its cell
-    # table, so none of the large joins runs again for the bucket totals.
-    scores = cut(scores.select(*by, group, id_col, "y", "score"))
+    spark = with_package(scores.sparkSession)
+    runs = F.lit(None).cast("string") if run is None else F.col(run)
+    scores = cut(scores.select(*by, runs.alias("_run"), group, id_col, "y", "score"))
     index = cut(dense_index(scores, group, "index", by))
-    draws = cut(bootstrap_draws(index, by, n_boot, list(seeds)))
-    rows = cut(with_buckets(scores.join(index, [*by, group]), by, "score", n_buckets).drop(group))
-    weighted = rows.join(draws, [*by, "index"])
-    rep = [*by, "seed", "rep"]
-    ap = average_precision_of(cut(cells(weighted, rep, F.col("mult"))), rep)
-    # At most k rows per replicate can be among its top k.
-    order = W.partitionBy(*rep).orderBy(F.col("score").desc(), F.col(id_col))
-    first = weighted.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
-    filled = first.withColumn(
-        "_before", F.coalesce(F.sum("mult").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = cut(index.groupBy(*by).agg(F.count("*").alias("n_groups")))
+    n_keys, most = sizes.agg(F.count("*"), F.max("n_groups")).first()
+    rows = join_groups(scores, index, [*by, group]).drop(group)
+    if n_buckets is None:
+        n_buckets = min(4096, scores.count() // BUCKET_ROWS + 1)
+    rows = with_buckets(rows, [*by, "_run"], "score", n_buckets) if n_buckets > 1 else rows.withColumn("_bucket", F.lit(0))
+    bucket = W.partitionBy(*by, "_run", "_bucket").orderBy(F.col("score").desc(), F.col(id_col))
+    placed = rows.withColumn("_at", F.row_number().over(bucket) - 1)
+    packed = placed.groupBy(*by, "_run", "_bucket", F.floor(F.col("_at") / PART_ROWS).alias("_part")).agg(
+        F.sort_array(F.collect_list(F.struct("_at", "index", F.col("y").cast("int").alias("y"), F.col("score").cast("double").alias("score")))).alias("r")
     )
-    used = F.greatest(F.lit(0), F.least(F.col("mult"), F.lit(k) - F.col("_before")))
-    top = filled.groupBy(*rep).agg(
-        F.sum(used).alias("_taken"), F.sum(used * F.col("y")).alias("_hits")
+    packed = cut(packed.select(*by, "_run", "_bucket", "_part", *[F.col(f"r.{c}").alias(c) for c in ("index", "y", "score")]))
+
+    # Blocks as large as memory allows, but enough of them to use all task slots.
+    slots = 4 * spark.sparkContext.defaultParallelism
+    total = n_boot * len(seeds) * (n_keys or 1)
+    block = max(1, min(200, n_boot, HELD_BYTES // (4 * (most or 1)), -(-total // slots)))
+    starts = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(block)))
+    dealt = [F.explode(F.array(*[F.lit(s).cast("long") for s in seeds])).alias("seed"), starts.alias("first")]
+
+    def spread(df: DataFrame, *columns) -> DataFrame:
+        return df.select("*", dealt[0]).select("*", dealt[1]).select(*by, "seed", "first", *columns)
+
+    prefix = keyed(F.col("seed"), *[F.col(c) for c in by]).alias("prefix")
+    heads, body = spread(sizes, "n_groups", prefix), spread(packed, *[c for c in packed.columns if c not in by])
+    keys = [*by, "seed", "first"]
+    stream = heads.unionByName(body, allowMissingColumns=True).repartition(max(1, min(10_000, -(-total // block))), *keys)
+    stream = stream.sortWithinPartitions(*keys, F.col("prefix").isNull(), "_run", F.col("_bucket").desc(), "_part")
+    shape = StructType(
+        [*[sizes.schema[c] for c in by], StructField("seed", LongType()), packed.schema["_run"]]
+        + [StructField(c, LongType()) for c in ("rep", "n", "pos")] + [StructField("ap", DoubleType())]
+        + [StructField(c, LongType()) for c in ("taken", "hits")]
     )
-    precision = F.when(F.col("_taken") == k, F.col("_hits") / F.lit(k))
-    return ap.where("pr_auc is not null").join(top, rep).select(
-        *rep, "pr_auc_over_base", (precision / F.col("base_rate")).alias("lift")
+    walked = stream.mapInArrow(_bootstrap_walk(by, n_boot, block, k, shape.names), shape)
+    base = F.col("pos") / F.col("n")
+    precision = F.when(F.col("taken") == k, F.col("hits") / F.lit(k))
+    return walked.where("pos > 0 and pos < n").select(
+        *by, *([] if run is None else [F.col("_run").alias(run)]), "seed", "rep", (F.col("ap") / F.col("pos") / base).alias("pr_auc_over_base"), (precision / base).alias("lift")
     )
 
 
+def _multiplicities(prefix: str, first: int, n: int, groups: int) -> np.ndarray:
+    """(groups, n): how often each group is drawn in the replicates from ``first`` on."""
+    out = np.zeros((n, groups), np.uint32)
+    for a in range(0, groups, 1 << 16):
+        texts = [b":%d" % i for i in range(a, min(groups, a + (1 << 16)))]
+        for r in range(n):
+            head = f"{prefix}:{first + r}".encode()
+            digests = b"".join([sha256(head + t).digest() for t in texts])
+            drawn = np.frombuffer(digests, ">u8")[::4].astype(np.uint64) % np.uint64(groups)
+            out[r] += np.bincount(drawn.astype(np.int64), minlength=groups).astype(np.uint32)
+    return np.ascontiguousarray(out.T)
+
+
+class _Walk:
+    """Running sums of a block of replicates over rows of falling score."""
+
+    def __init__(self, drawn: np.ndarray, first: int, k: int):
+        self.drawn, self.first, self.k, n = drawn, first, k, drawn.shape[1]
+        # Rows and positives so far, positives up to the last score that is done, and the results.
+        self.n, self.pos, self.done, self.taken, self.hits = (np.zeros(n, np.int64) for _ in range(5))
+        self.ap, self.score = np.zeros(n), None
+
+    def close(self, done: np.ndarray, pos: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (pos - done) * pos / np.maximum(n, 1)
+
+    def add(self, index: np.ndarray, y: np.ndarray, score: np.ndarray) -> None:
+        if self.score is not None and score[0] != self.score:
+            self.ap += self.close(self.done, self.pos, self.n)
+            self.done = self.pos
+        drawn = self.drawn[index]
+        n, pos = np.cumsum(drawn, 0, np.int64) + self.n, np.cumsum(drawn * y[:, None].astype(np.uint32), 0, np.int64) + self.pos
+        if (self.n < self.k).any():
+            used = np.clip(self.k - (n - drawn), 0, drawn)
+            self.taken, self.hits = self.taken + used.sum(0), self.hits + (used * y[:, None]).sum(0)
+        ends = np.flatnonzero(score[1:] != score[:-1])
+        if len(ends):
+            at = pos[ends]
+            self.ap += self.close(np.concatenate((self.done[None], at[:-1])), at, n[ends]).sum(0)
+            self.done = at[-1]
+        self.n, self.pos, self.score = n[-1], pos[-1], score[-1]
+
+    def results(self) -> list[np.ndarray]:
+        ap = self.ap + self.close(self.done, self.pos, self.n)
+        return [np.arange(self.first, self.first + len(ap)), self.n, self.pos, ap, self.taken, self.hits]
+
+
+def _bootstrap_walk(by: list[str], n_boot: int, block: int, k: int, names: list[str]):
+    def walk_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk = drawn = first = None
+        key: list[pa.Scalar] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if walk is not None:
+                values = walk.results()
+                same = [pa.array([v.as_py()] * len(values[0]), v.type) for v in key]
+                yield pa.RecordBatch.from_arrays([*same, *[pa.array(v) for v in values]], names)
+
+        for batch in batches:
+            columns = {c: batch.column(c) for c in batch.schema.names}
+            for i, prefix in enumerate(columns["prefix"].to_pylist()):
+                own = [columns[c][i] for c in (*by, "seed", "_run")]
+                if prefix is not None:  # the first row of a block
+                    yield from done()
+                    walk, first = None, columns["first"][i].as_py()
+                    drawn = _multiplicities(prefix, first, min(block, n_boot - first), columns["n_groups"][i].as_py())
+                    continue
+                if walk is None or own[-1].as_py() != key[-1].as_py():
+                    yield from done()
+                    walk, key = _Walk(drawn, first, k), own
+                walk.add(*[columns[c][i].values.to_numpy() for c in ("index", "y", "score")])
+        yield from done()
+
+    return walk_all
+
+
+def fold_intervals(
+    scores: DataFrame, group: str, by: list[str], n_boot: int, seeds: list[int], real_from: float = 1.10,
+    run: str | None = None, id_col: str = "id",
+) -> DataFrame:
+    """Point, 95% interval of the first seed, agreement of the seeds and effect class per fold (and run)."""
+    own = [*by, *([] if run is None else [run])]
+    scores = cut(scores.select(*own, group, id_col, "y", "score"))
+    draws = cluster_bootstrap(scores, group, n_boot, seeds, by, id_col=id_col, run=run)
+    cis = cut(percentile_ci(draws, [*own, "seed"]))
+    point = average_precision(scores, own).select(*own, F.col("pr_auc_over_base").alias("point"))
+    first = cis.where(F.col("seed") == seeds[0]).select(*own, "lo", "hi")
+    return classify(join_groups(join_groups(first, seed_stability(cis, own), own), point, own), real_from)
+
+
 def percentile_ci(draws: DataFrame, by: list[str], value: str = "pr_auc_over_base") -> DataFrame:
     """95% percentile interval (linear); a group has at most n_boot draws per seed."""
     ends = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))

@@ -9,19 +9,21 @@ from tristage.operators import stats as S
 from tristage.plans.bindings import DOC_SCORES_SQL, LINES_SQL, LINE_SCORES_SQL, VECTOR_SCORES_SQL
 from tristage.plans.metric_queries import ap_sql, top_sql
 from tristage.plans.registry import query
+from tristage.session import cut
 
 N_BOOT = 2000
 SEEDS = [20260930 + 10007 * i for i in range(5)]
 
 
-def _boot_sql(seeds) -> str:
+def _boot_sql(seeds, grp: str = "grp") -> str:
     seeds = ", ".join(str(s) for s in seeds)
-    return f"""WITH {DOC_SCORES_SQL}, g AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS idx FROM (SELECT DISTINCT grp FROM sc)),
+    return f"""WITH {DOC_SCORES_SQL}, s0 AS (SELECT id, y, score, {grp} AS grp FROM sc),
+    g AS (SELECT grp, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS idx FROM (SELECT DISTINCT grp FROM s0)),
     ng AS (SELECT count(*) AS n FROM g),
     dr AS (SELECT seed, rep, (('0x' || substr(sha256(seed || ':' || rep || ':' || idx), 1, 16))::UBIGINT % n)::BIGINT AS idx
       FROM g, ng, (SELECT unnest(range({N_BOOT})) AS rep), (SELECT unnest([{seeds}]) AS seed)),
     mu AS (SELECT seed, rep, idx, count(*) AS mult FROM dr GROUP BY ALL),
-    w AS (SELECT seed, rep, sc.id, sc.y, sc.score, mult FROM mu JOIN g ON g.idx = mu.idx JOIN sc ON sc.grp = g.grp),
+    w AS (SELECT seed, rep, s0.id, s0.y, s0.score, mult FROM mu JOIN g ON g.idx = mu.idx JOIN s0 ON s0.grp IS NOT DISTINCT FROM g.grp),
     c AS (SELECT seed, rep, score, sum(y * mult) AS pos, sum(mult) AS n FROM w GROUP BY ALL),
     r AS (SELECT *, sum(pos) OVER x AS tp, sum(n) OVER x AS pred, sum(pos) OVER p AS pt, sum(n) OVER p AS nt FROM c
       WINDOW x AS (PARTITION BY seed, rep ORDER BY score DESC ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY seed, rep)),
@@ -38,6 +40,13 @@ def bootstrap_draws(t):
     return S.cluster_bootstrap(t.doc_scores(), "grp", N_BOOT, SEEDS[:1])
 
 
+@query("seed:i rep:i pr_auc_over_base:d", _boot_sql(SEEDS[:1], "CASE WHEN organism <> 'en' THEN grp END") + " SELECT * FROM draws")
+def bootstrap_with_null_group(t):
+    """The rows without a group are one group."""
+    scores = t.doc_scores().withColumn("grp", F.when(F.col("organism") != "en", F.col("grp")))
+    return S.cluster_bootstrap(scores, "grp", N_BOOT, SEEDS[:1])
+
+
 _CI_SQL = _boot_sql(SEEDS) + """, ci AS (SELECT seed, quantile_cont(pr_auc_over_base, 0.025) AS lo,
       quantile_cont(pr_auc_over_base, 0.975) AS hi, count(*) AS n_draws FROM draws GROUP BY seed)"""
 
@@ -69,40 +78,50 @@ def bootstrap_verdict(t):
     return S.classify(first.join(F.broadcast(stable)).join(F.broadcast(point)))
 
 
-# Analytic intervals stand in for bootstrapped ones: what follows only reads (point, lo, hi, stable).
-def _interval_sql(name: str, src: str, by: str, tag: str, width: float) -> str:
-    return f"""{ap_sql(src, [by], tag)}, {name}0 AS (SELECT {by} AS fold, pr_auc_over_base AS point,
-        pr_auc_over_base - {width} / sqrt(n_positive) AS lo, pr_auc_over_base + {width} / sqrt(n_positive) AS hi FROM {tag}),
-      {name} AS (SELECT *, lo <= 1 AND hi >= 1 AS crosses_1, CASE WHEN lo <= 1 AND hi >= 1 THEN 'indistinguishable'
-        WHEN hi < 1 THEN 'reversed' WHEN point >= 1.02 THEN 'real' ELSE 'weak' END AS cls FROM {name}0)"""
-
-
-_TWO_SQL = (
-    f"WITH {LINE_SCORES_SQL}, sb AS (SELECT center, y, -score AS score FROM sc), "
-    + _interval_sql("m", "sc", "center", "pa", 0.4) + ", " + _interval_sql("k", "sb", "center", "pb", 0.9)
-)
+# One run ranks by length, the counterpart by shortness; every source of texts is a fold.
+_TWO_SQL = f"""WITH {DOC_SCORES_SQL},
+    ru AS (SELECT 'main' AS run, center AS fold, grp, y, score FROM sc UNION ALL SELECT 'counterpart', center, grp, y, -score FROM sc),
+    g AS (SELECT fold, grp, row_number() OVER (PARTITION BY fold ORDER BY grp) - 1 AS idx FROM (SELECT DISTINCT fold, grp FROM ru)),
+    ng AS (SELECT fold, count(*) AS n FROM g GROUP BY fold),
+    dr AS (SELECT g.fold, seed, rep, (('0x' || substr(sha256(seed || ':' || g.fold || ':' || rep || ':' || idx), 1, 16))::UBIGINT % n)::BIGINT AS idx
+      FROM g JOIN ng ON ng.fold = g.fold, (SELECT unnest(range({N_BOOT})) AS rep), (SELECT unnest([{", ".join(map(str, SEEDS))}]) AS seed)),
+    mu AS (SELECT fold, seed, rep, idx, count(*) AS mult FROM dr GROUP BY ALL),
+    c AS (SELECT run, mu.fold, seed, rep, score, sum(y * mult) AS pos, sum(mult) AS n
+      FROM mu JOIN g ON g.fold = mu.fold AND g.idx = mu.idx JOIN ru ON ru.fold = g.fold AND ru.grp = g.grp GROUP BY ALL),
+    r AS (SELECT *, sum(pos) OVER x AS tp, sum(n) OVER x AS pred, sum(pos) OVER p AS pt, sum(n) OVER p AS nt FROM c
+      WINDOW x AS (PARTITION BY run, fold, seed, rep ORDER BY score DESC ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY run, fold, seed, rep)),
+    a AS (SELECT run, fold, seed, rep, (sum(pos * tp / pred) / max(pt)) / (max(pt) / max(nt)) AS v
+      FROM r GROUP BY ALL HAVING max(pt) > 0 AND max(pt) < max(nt)),
+    ci AS (SELECT run, fold, seed, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM a GROUP BY ALL),
+    st AS (SELECT run, fold, count(DISTINCT CASE WHEN lo > 1 THEN 'pos' WHEN hi < 1 THEN 'neg' ELSE 'cross' END) = 1 AS stable FROM ci GROUP BY ALL),
+    {ap_sql('ru', ['run', 'fold'])},
+    iv AS (SELECT ci.run, ci.fold, pr_auc_over_base AS point, lo, hi, lo <= 1 AND hi >= 1 AS crosses_1,
+        CASE WHEN NOT stable OR (lo <= 1 AND hi >= 1) THEN 'indistinguishable' WHEN hi < 1 THEN 'reversed' WHEN pr_auc_over_base >= 1.1 THEN 'real' ELSE 'weak' END AS cls
+      FROM ci JOIN st ON st.run = ci.run AND st.fold = ci.fold JOIN ap ON ap.run = ci.run AND ap.fold = ci.fold WHERE seed = {SEEDS[0]}),
+    m AS (SELECT * FROM iv WHERE run = 'main'), k AS (SELECT * FROM iv WHERE run = 'counterpart')"""
 
 
-def _intervals(scores, width):
-    ap = M.average_precision(scores, ["center"])
-    half = F.lit(width) / F.sqrt("n_positive")
-    p = F.col("pr_auc_over_base")
-    table = ap.select(
-        F.col("center").alias("fold"), p.alias("point"), (p - half).alias("lo"), (p + half).alias("hi"),
-        F.lit(True).alias("stable"),
+def two_runs(t):
+    """Intervals of both runs in all folds, from draws of whole groups and five seeds."""
+    scores = t.doc_scores().withColumn("fold", F.col("center"))
+    both = scores.withColumn("run", F.lit("main")).unionByName(
+        scores.withColumns({"run": F.lit("counterpart"), "score": -F.col("score")})
     )
-    return S.classify(table, real_from=1.02)
+    found = cut(S.fold_intervals(both, "grp", ["fold"], N_BOOT, SEEDS, run="run"))
+    return [found.where(F.col("run") == name).drop("run") for name in ("main", "counterpart")]
 
 
-def two_runs(t):
-    scores = t.line_scores()
-    return _intervals(scores, 0.4), _intervals(scores.withColumn("score", -F.col("score")), 0.9)
+@query("run:s fold:s point:d lo:d hi:d crosses_1:b effect_class:s", _TWO_SQL + " SELECT * EXCLUDE (cls), cls AS effect_class FROM iv")
+def fold_intervals(t):
+    """Intervals and effect classes of two runs, fold by fold."""
+    main, counterpart = two_runs(t)
+    return main.withColumn("run", F.lit("main")).unionByName(counterpart.withColumn("run", F.lit("counterpart")))
 
 
 @query(
     "fold:s point:d lo:d hi:d effect_class:s",
     _TWO_SQL + """ SELECT m.fold, m.point, m.lo, m.hi, CASE WHEN m.cls = 'real' AND k.crosses_1 THEN 'borderline'
-      ELSE m.cls END AS effect_class FROM m JOIN k ON m.fold = k.fold""",
+      ELSE m.cls END AS effect_class FROM m LEFT JOIN k ON m.fold = k.fold""",
 )
 def robustness_downgrade(t):
     main, counterpart = two_runs(t)
@@ -111,8 +130,8 @@ def robustness_downgrade(t):
 
 @query(
     "n_folds:i n_clear:i n_pass:i",
-    _TWO_SQL + """, j AS (SELECT m.*, NOT m.crosses_1 AND m.point >= 1 AND NOT (m.cls = 'real' AND k.crosses_1) AS clear
-      FROM m JOIN k ON m.fold = k.fold)
+    _TWO_SQL + """, j AS (SELECT m.*, NOT m.crosses_1 AND m.point >= 1 AND NOT (m.cls = 'real' AND coalesce(k.crosses_1, false)) AS clear
+      FROM m LEFT JOIN k ON m.fold = k.fold)
     SELECT count(*) AS n_folds, sum(clear::INT) AS n_clear, sum((clear AND point >= 1.01)::INT) AS n_pass FROM j""",
 )
 def two_condition_claim(t):

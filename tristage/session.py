@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,12 @@ def local_session(cpus: int | str | None = None, app: str = "tristage") -> Spark
     return spark
 
 
+def with_package(spark: SparkSession) -> SparkSession:
+    """The session; Python workers it starts find this package, where its folder is there for them."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
