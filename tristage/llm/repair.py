@@ -38,6 +38,7 @@ from tristage.llm.tokens import word_tokenizer
 
 BLOCK_IDS = 1 << 20
 LEAST_PAIR = 24  # a pair is replaced if it occurs so often in a block
+LEAST_USES = 3  # a rule is two symbols, and saves one per use
 BLOCKS = "shard int, block int, first long, doc_ids array<long>, lengths array<long>, terminals long, rules binary, expansions binary, symbols binary"
 
 
@@ -51,53 +52,95 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
-def _slots(pairs: np.ndarray) -> np.ndarray:
-    """A number of 21 bits per pair, to pick out those worth sorting."""
-    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int32)
+SLOTS = 18  # bits of a pair's slot
+
+
+def _slots(codes: np.ndarray) -> np.ndarray:
+    """A number of ``SLOTS`` bits per pair code."""
+    bits = 8 * codes.itemsize
+    factor = codes.dtype.type(0x9E3779B97F4A7C15 & ((1 << bits) - 1))
+    return (codes * factor) >> codes.dtype.type(bits - SLOTS)
+
+
+def _places(frequent: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a code is among the sorted ``frequent`` ones, its place there)."""
+    by_slot = np.full(1 << SLOTS, -1, np.int32)
+    by_slot[_slots(frequent)] = np.arange(len(frequent), dtype=np.int32)
+    place = by_slot[_slots(codes)]
+    hit = frequent[place] == codes
+    # Slots of several frequent pairs name one of them; the others are searched.
+    rest = np.flatnonzero(~hit & (place >= 0))
+    found = np.minimum(np.searchsorted(frequent, codes[rest]), len(frequent) - 1)
+    place[rest], hit[rest] = found, frequent[found] == codes[rest]
+    return hit, place
+
+
+def _chosen(at: np.ndarray) -> np.ndarray:
+    """Which of the pairs at rising places are taken: from left to right, of overlapping ones every second."""
+    begins = np.append(True, np.diff(at) > 1)[: len(at)]
+    run = np.maximum.accumulate(np.where(begins, np.arange(len(at), dtype=np.int32), 0))
+    return (np.arange(len(at), dtype=np.int32) - run) % 2 == 0
 
 
 def compress(ids: np.ndarray, terminals: int, least: int = LEAST_PAIR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, expansion lengths, symbols) of a sequence of ids below ``terminals``.
 
-    A round takes all pairs that occur at least ``least`` times and replaces their occurrences from
-    left to right; of overlapping occurrences the left one is taken. No occurrence of a taken pair is
-    left and pairs of older symbols never grow, so a later round counts only pairs with a symbol of
-    the round before it.
+    A round looks at all pairs that occur at least ``least`` times and takes their occurrences from left
+    to right; of overlapping ones every second. (To take the more frequent of overlapping pairs first
+    left 3 % more symbols.) Pairs taken ``LEAST_USES`` times, which is when a rule pays, become rules.
+    Pairs of older symbols never grow, so the next round counts only pairs with a symbol just made, and
+    frequent ones that are left. The rounds end when none becomes a rule. Within, symbols are ranks among
+    those present, and a pair is one number of 32 bits while they are few.
     """
-    symbols = ids.astype(np.uint32)
-    rules, sizes, made, fresh = [np.zeros((0, 2), np.uint32)], np.ones(terminals, np.int64), 0, 0
-    while len(symbols) >= 2:
-        at = np.flatnonzero((symbols[:-1] >= fresh) | (symbols[1:] >= fresh))
-        pairs = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
-        slot = _slots(pairs)
-        likely = np.flatnonzero((np.bincount(slot, minlength=1 << 21) >= least)[slot])
-        at, pairs, slot = at[likely], pairs[likely], slot[likely]
-        ordered = np.sort(pairs)
+    present = np.flatnonzero(np.bincount(ids, minlength=1))
+    ranks = np.zeros(int(present[-1]) + 1 if len(present) else 0, np.uint32)
+    ranks[present] = np.arange(len(present), dtype=np.uint32)
+    symbols, top = ranks[ids], len(present)
+    rules, made, at = [np.zeros((0, 2), np.uint32)], 0, np.arange(len(ids) - 1, dtype=np.int32)
+    while len(at):
+        wide = np.uint32 if top + made <= 1 << 16 else np.uint64
+        shift = wide(16 if wide is np.uint32 else 32)
+        left, right = (symbols[:-1], symbols[1:]) if len(at) == len(symbols) - 1 else (symbols[at], symbols[at + 1])
+        codes = (left.astype(wide) << shift) | right
+        ordered = np.sort(codes)
         edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
-        frequent = ordered[edges[:-1][np.diff(edges) >= least]] if len(ordered) else ordered
+        frequent = ordered[edges[:-1][np.diff(edges) >= least]]
         if not len(frequent):
             break
-        marked = np.zeros(1 << 21, bool)
-        marked[_slots(frequent)] = True
-        hot = np.flatnonzero(marked[slot])
-        at, pairs = at[hot], pairs[hot]
-        place = np.searchsorted(frequent, pairs)
-        found = frequent[np.minimum(place, len(frequent) - 1)] == pairs
-        hit, place = at[found], place[found]
-        # In a run of overlapping occurrences every second one is taken.
-        begins = np.concatenate(([True], np.diff(hit) > 1))
-        run = np.maximum.accumulate(np.where(begins, np.arange(len(hit)), 0))
-        even = (np.arange(len(hit)) - run) % 2 == 0
-        hit, place = hit[even], place[even]
-        symbols[hit] = terminals + made + place
+        hit, place = _places(frequent, codes)
+        at, place = at[hit], place[hit]
+        taken = _chosen(at)
+        rule = np.bincount(place[taken], minlength=len(frequent)) >= LEAST_USES
+        if not rule.any():
+            break
+        taken &= rule[place]
+        number = np.cumsum(rule, dtype=np.uint32) - 1
+        own = at[taken]
+        replaced = np.zeros(len(symbols), bool)
+        replaced[own] = replaced[own + 1] = True
+        waiting = at[~(replaced[at] | replaced[at + 1])]
+        symbols[own] = top + made + number[place[taken]]
         keep = np.ones(len(symbols), bool)
-        keep[hit + 1] = False
+        keep[own + 1] = False
         symbols = symbols[keep]
-        rules.append(np.stack([frequent >> np.uint64(32), frequent & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        sizes = np.concatenate([sizes, sizes[rules[-1][:, 0]] + sizes[rules[-1][:, 1]]])
-        fresh = terminals + made
-        made += len(frequent)
-    return np.concatenate(rules).ravel(), sizes[terminals:].astype(np.uint32), symbols
+        fresh = own - np.arange(len(own))  # each place before it lost one symbol
+        looked = np.zeros(len(symbols) + 1, bool)
+        looked[fresh] = looked[fresh - 1] = True
+        looked[waiting - np.searchsorted(own, waiting)] = True
+        at = np.flatnonzero(looked[: len(symbols) - 1])
+        pairs = frequent[rule]
+        rules.append(np.stack([pairs >> shift, pairs & wide((1 << int(shift)) - 1)], 1).astype(np.uint32))
+        made += int(rule.sum())
+
+    names = np.concatenate((present, terminals + np.arange(made))).astype(np.uint32)
+    pairs = names[np.concatenate(rules)]
+    sizes = np.ones(terminals + made, np.int64)
+    begin = 0
+    for own in rules[1:]:
+        pair = pairs[begin : begin + len(own)]
+        sizes[terminals + begin : terminals + begin + len(own)] = sizes[pair[:, 0]] + sizes[pair[:, 1]]
+        begin += len(own)
+    return pairs.ravel(), sizes[terminals:].astype(np.uint32), names[symbols]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
@@ -118,6 +161,22 @@ def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray
     return symbols
 
 
+def expand_block(row: dict) -> np.ndarray:
+    """All ids of a block: every rule is expanded once, and its uses copy that."""
+    terminals, symbols, sizes = row["terminals"], _unpack(row["symbols"]), _unpack(row["expansions"]).astype(np.int64)
+    whole = expand(terminals + np.arange(len(sizes)), _unpack(row["rules"]), terminals)
+    deep = symbols >= terminals
+    widths = np.ones(len(symbols), np.int64)
+    widths[deep] = sizes[symbols[deep] - terminals]
+    ends = np.cumsum(widths)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+    out[(ends - widths)[~deep]] = symbols[~deep]
+    used, widths, starts = symbols[deep] - terminals, widths[deep], (ends - widths)[deep]
+    along = np.arange(int(widths.sum())) - np.repeat(np.cumsum(widths) - widths, widths)
+    out[np.repeat(starts, widths) + along] = whole[np.repeat((np.cumsum(sizes) - sizes)[used], widths) + along]
+    return out
+
+
 def read_ids(row: dict, start: int, length: int) -> np.ndarray:
     """``length`` ids from place ``start`` of a block, expanding only the symbols that cover them."""
     terminals, symbols = row["terminals"], _unpack(row["symbols"])
@@ -208,7 +267,7 @@ def decode_documents(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            ids = expand(_unpack(row["symbols"]), _unpack(row["rules"]), row["terminals"])
+            ids = expand_block(row)
             ends = np.concatenate(([0], np.cumsum(row["lengths"])))
             lists = pa.ListArray.from_arrays(ends.astype(np.int32), ids.astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + ends[:-1]), lists], schema=out)
@@ -222,7 +281,7 @@ def digest_documents(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            data = memoryview(expand(_unpack(row["symbols"]), _unpack(row["rules"]), row["terminals"]).astype("<u4").tobytes())
+            data = memoryview(expand_block(row).astype("<u4").tobytes())
             ends = np.concatenate(([0], np.cumsum(row["lengths"])))
             crcs = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:])]
             columns = [row["doc_ids"], row["start"] + ends[:-1], row["lengths"], crcs]
