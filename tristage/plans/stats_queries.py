@@ -70,7 +70,7 @@ def bootstrap_intervals(t):
 )
 def bootstrap_verdict(t):
     """Point estimate, interval of the first seed, agreement over seeds, and the effect class."""
-    cis = doc_cis(t)
+    cis = cut(doc_cis(t))
     stable = S.seed_stability(cis, [])
     point = M.average_precision(t.doc_scores(), []).select(F.col("pr_auc_over_base").alias("point"))
     # One row each.
