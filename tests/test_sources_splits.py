@@ -111,6 +111,27 @@ def test_strip_patterns(spark):
     assert "localhost" in X.scan_alternation([])
 
 
+def test_rows_without_a_group_are_one_group(spark):
+    df = spark.createDataFrame([(1, None, True), (2, None, True), (3, "a", False), (4, "b", True), (5, "b", False)], "id int, g string, late boolean")
+    got = {r["id"]: r["split"] for r in P.group_split(df, F.col("late"), "g").collect()}
+    assert got == {1: "test", 2: "test", 3: "train", 4: "dropped", 5: "dropped"}
+    sides = {r["id"]: r["split"] for r in P.hash_split(df, "g", 1, pin_above=0.3, unit="id").collect()}
+    assert len(sides) == 5 and sides[1] == sides[2] == sides[4] == "train"
+    plain = {r["id"]: r["split"] for r in P.hash_split(df, "g", 1).collect()}
+    assert plain[1] == plain[2] and None not in plain.values()
+
+
+def test_greedy_folds_of_many_batches_in_one_pass(spark):
+    n, k = 200_000, 5
+    sizes = spark.range(n).select(F.concat(F.lit("b"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("name"), (F.col("id") * 7919 % 997).alias("size"))
+    folds = dict(P.greedy_folds(sizes.repartition(6), "name", "size", k).select("name", "fold").toPandas().itertuples(index=False))
+    load = [0] * k
+    for i in sorted(range(n), key=lambda i: (-(i * 7919 % 997), i)):
+        fold = load.index(min(load))
+        assert folds[f"b{i:06d}"] == fold
+        load[fold] += i * 7919 % 997
+
+
 def test_greedy_folds_and_masks(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 8), ("c", 8), ("d", 3), ("e", 1)], "center string, n bigint")
     folds = {r["center"]: r["fold"] for r in P.greedy_folds(sizes, "center", "n", 2, 2).collect()}

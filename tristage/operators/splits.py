@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tristage.functions.hashing import keyed, kfold_of, uniform
 from tristage.operators.ordering import dense_index, join_groups
-from tristage.session import cut
+from tristage.session import cut, with_package
 
 
 def representative(df: DataFrame, group: list[str], id_col: str, seed: int) -> DataFrame:
@@ -38,7 +42,10 @@ def hash_split(
     pin_above: float = 0.0,
     unit: str | None = None,
 ) -> DataFrame:
-    """Assign whole groups by hash; groups holding more than ``pin_above`` of all units train."""
+    """Assign whole groups by hash; groups holding more than ``pin_above`` of all units train.
+
+    Rows without a group are one group, hashed by the seed alone.
+    """
     train, val = fractions
     u = uniform(keyed(seed, F.col(group)))
     side = F.when(u < train, "train").when(u < train + val, "val").otherwise("test")
@@ -46,11 +53,11 @@ def hash_split(
         return df.withColumn("split", side)
     units = df.select(group, unit or group).distinct()
     sizes = units.groupBy(group).agg(F.count("*").alias("_k"))
-    total = units.select(F.countDistinct(unit or group).alias("_total"))
+    total = units.select(unit or group).distinct().agg(F.count("*").alias("_total"))
     sides = sizes.join(F.broadcast(total)).select(
         group, F.when(F.col("_k") > pin_above * F.col("_total"), "train").otherwise(side).alias("split")
     )
-    return df.join(sides, group, "left")
+    return join_groups(df, cut(sides), [group])
 
 
 def group_sides(df: DataFrame, is_test: Column, group: str) -> DataFrame:
@@ -69,34 +76,34 @@ def group_sides(df: DataFrame, is_test: Column, group: str) -> DataFrame:
 
 def group_split(df: DataFrame, is_test: Column, group: str) -> DataFrame:
     """The sides are a table, so that the join is between plain shuffles, which the adaptive skew join
-    can split at a giant group; over an aggregate it cannot."""
-    return df.join(cut(group_sides(df, is_test, group)), group, "left")
+    can split at a giant group; over an aggregate it cannot. Rows without a group are one group."""
+    return join_groups(df, cut(group_sides(df, is_test, group)), [group])
 
 
 def greedy_folds(sizes: DataFrame, name: str, size: str, k: int, min_n: int = 0) -> DataFrame:
-    """Balance names over k folds: largest first, each to the least loaded fold.
+    """Balance names over k folds: largest first (ties by name), each to the least loaded fold.
 
-    ``sizes`` is the batch dimension (one row per laboratory), which one array holds; batches below
-    ``min_n`` get fold -1 and always train. The greedy rule is sequential by definition.
+    ``sizes`` has one row per batch; batches below ``min_n`` get fold -1 and always train. The greedy
+    rule is sequential by definition: the sorted batches stream once through a task that keeps a heap of
+    the k loads and nothing else.
     """
-    ordered = F.array_sort(
-        F.collect_list(F.struct((-F.col(size)).alias("neg"), F.col(name).alias("name")))
-    )
-    step = """
-      aggregate(items,
-        named_struct('load', array_repeat(0L, {k}), 'out', cast(array() as array<struct<name:string,fold:int>>)),
-        (acc, x) -> named_struct(
-          'load', transform(acc.load, (l, i) -> if(i = array_position(acc.load, array_min(acc.load)) - 1, l - x.neg, l)),
-          'out', array_append(acc.out, named_struct('name', x.name,
-                 'fold', cast(array_position(acc.load, array_min(acc.load)) - 1 as int)))),
-        acc -> acc.out)
-    """.format(k=k)
-    big = sizes.where(F.col(size) >= min_n).agg(ordered.alias("items"))
-    folds = big.select(F.explode(F.expr(step)).alias("f")).select(
-        F.col("f.name").alias(name), F.col("f.fold").alias("fold")
-    )
+    with_package(sizes.sparkSession)
+    big = sizes.where(F.col(size) >= min_n).select(name, F.col(size).cast("long").alias("_size"))
+    ordered = big.repartition(1).sortWithinPartitions(F.col("_size").desc(), F.col(name))
+    shape = sizes.select(name, F.lit(0).alias("fold")).schema
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loads = [(0, fold) for fold in range(k)]
+        for batch in batches:
+            folds = []
+            for n in batch.column("_size").to_pylist():
+                load, fold = loads[0]
+                heapq.heapreplace(loads, (load + n, fold))
+                folds.append(fold)
+            yield pa.RecordBatch.from_arrays([batch.column(name), pa.array(folds, pa.int32())], [name, "fold"])
+
     small = sizes.where(F.col(size) < min_n).select(name, F.lit(-1).alias("fold"))
-    return folds.unionByName(small)
+    return ordered.mapInArrow(assign, shape).unionByName(small)
 
 
 def fold_train_test(df: DataFrame, folds: DataFrame, batch: str, group: str, k: int) -> DataFrame:

@@ -100,6 +100,37 @@ def target_holdout(t):
     return P.group_split(observed, F.col("target").isin("1-URGENT"), "grp")
 
 
+@query(
+    "id:i grp:i split:s",
+    f"""WITH {ORDERS_SQL}, f AS (SELECT id, year, CASE WHEN year < 2001 OR target <> '5-LOW' THEN grp END AS grp FROM ords),
+    g AS (SELECT grp, bool_or(year >= 2001) AS te, bool_or(year < 2001) AS tr FROM f GROUP BY grp)
+    SELECT id, f.grp, CASE WHEN te AND tr THEN 'dropped' WHEN te THEN 'test' ELSE 'train' END AS split
+    FROM f JOIN g ON f.grp IS NOT DISTINCT FROM g.grp""",
+)
+def holdout_with_null_group(t):
+    """Late orders of one target have no group: they are one, and it is tested."""
+    grouped = (F.col("year") < 2001) | (F.col("target") != "5-LOW")
+    return P.group_split(t.orders().withColumn("grp", F.when(grouped, F.col("grp"))), F.col("year") >= 2001, "grp")
+
+
+@query(
+    "pin:d grp:i split:s n:i",
+    f"""WITH {ORDERS_SQL}, f AS (SELECT id, CASE WHEN target NOT IN ('1-URGENT', '2-HIGH') THEN grp END AS grp FROM ords),
+    u AS (SELECT grp, count(*) AS n FROM f GROUP BY grp), p AS (SELECT unnest([0.3, 0.9]) AS pin)
+    SELECT pin, grp, CASE WHEN n > pin * (SELECT count(*) FROM ords) THEN 'train'
+      ELSE {_side(f"('0x' || substr(sha256(concat_ws(':', '{SEED}', grp)), 1, 16))::UBIGINT / 18446744073709551616.0")} END AS split, n FROM u, p""",
+)
+def hashed_split_with_null_group(t):
+    """Two fifths of the orders have no group: a giant one at the lower limit, hashed by the seed at the upper."""
+    orders = t.orders().withColumn("grp", F.when(~F.col("target").isin("1-URGENT", "2-HIGH"), F.col("grp")))
+    out = None
+    for pin in (0.3, 0.9):
+        split = P.hash_split(orders, "grp", SEED, pin_above=pin, unit="id")
+        counted = split.groupBy("grp", "split").agg(F.count("*").alias("n")).withColumn("pin", F.lit(pin))
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
 @query(
     "split:s n_groups:i n_records:i",
     "SELECT split, count(DISTINCT grp) AS n_groups, count(*) AS n_records FROM ("
