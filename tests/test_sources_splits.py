@@ -33,6 +33,46 @@ def test_trial_xml(spark, tmp_path):
     ]
 
 
+def test_a_broken_target_takes_no_other_with_it(spark, tmp_path):
+    trial = "<trialList><trial id='1'><status>{}</status><trialSequenceList><trialSequence><oneLetterCode>MAAAK</oneLetterCode></trialSequence></trialSequenceList></trial></trialList>"
+    body = [
+        f"<target id='a'>{trial.format('cloned')}</target>", f"<target id='torn'>{trial.format('R&D &amp; x &#38;')}</target>",
+        "<target id='self'/>", "<target id='lost'><trialList><trial></trialList></target>", "<target\nid='b'><targetId>9</targetId></target>",
+        f"<target id='c'>{trial.format(chr(7) + 'cloned')}</target>", "<target id='cut off'><trialList>",
+    ]
+    (tmp_path / "LAB1.xml.gz").write_bytes(gzip.compress(("<targets>" + "".join(body)).encode()))
+    targets = R.read_targets_xml(spark, str(tmp_path))
+    rows = {r["trial_id"] + r["target_id"]: r["status"] for r in R.trials(targets).collect()}
+    assert rows == {"1a": "cloned", "1torn": "R&D & x &", "1c": "cloned"}
+    lost = sorted(r["corrupt"][:16] for r in targets.where("corrupt is not null").collect())
+    assert lost == ["<target id='cut ", "<target id='lost"]
+    assert R.parse_counts(targets).first().asDict() == {
+        "center": "LAB1", "targets": 6, "recovered_targets": 2, "broken_targets": 2, "targets_no_trial": 1, "trials": 3, "trials_no_protein_sequence": 0,
+    }
+
+
+def test_files_over_the_binary_limit_are_streamed(spark, tmp_path, monkeypatch):
+    for i in range(1, 4):
+        (tmp_path / f"f {i}.bin").write_bytes(b"x" * (i * 1000))
+    (tmp_path / "old.zip").write_bytes(b"old")
+    want = {p.name: hashlib.md5(p.read_bytes()).hexdigest() for p in tmp_path.iterdir()}
+    monkeypatch.setattr(R, "LARGEST_BINARY", 1500)
+    assert {r["file"]: r["hash"] for r in R.file_hashes(spark, str(tmp_path)).collect()} == want
+    sha = {r["file"]: r["sha256"] for r in V.fingerprint(spark, str(tmp_path)).collect()}
+    assert sha["f 3.bin"] == hashlib.sha256(b"x" * 3000).hexdigest()
+    expected = spark.createDataFrame([("f 2.bin", want["f 2.bin"]), ("f 3.bin", "0"), ("f 9.bin", "0")], "file string, md5 string")
+    old = spark.createDataFrame([("old.zip", "use f 3"), ("older.zip", "gone")], "file string, reason string")
+    got = {r["file"]: (r["state"], r["reason"]) for r in R.verify_files(spark, str(tmp_path), expected, superseded=old).collect()}
+    assert got == {"f 2.bin": ("ok", None), "f 3.bin": ("mismatch", None), "f 9.bin": ("missing", None), "old.zip": ("superseded", "use f 3")}
+
+
+def test_stray_folders_of_a_path_with_marks(spark, tmp_path):
+    own = tmp_path / "raw (1)+x" / "src" / "download" / "unpacked"
+    own.mkdir(parents=True)
+    (own / "a.txt").write_text("a")
+    assert [r["folder"] for r in R.stray_folders(spark, str(tmp_path / "raw (1)+x")).collect()] == ["src/download"]
+
+
 def test_fasta_duplicates_and_lines(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">x one\nmk\nVL\n>y\nAAA\n>x one\nGGG\n")
     assert {r["header"]: r["sequence"] for r in R.read_fasta(spark, str(tmp_path)).collect()} == {"x one": "GGG", "y": "AAA"}

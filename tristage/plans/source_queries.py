@@ -22,7 +22,7 @@ def _tag(name, col):
     return F.concat(F.lit(f"<{name}>"), col.cast("string"), F.lit(f"</{name}>"))
 
 
-def write_trial_xml(t) -> str:
+def write_trial_xml(t, damaged: bool = False) -> str:
     """Trials as one gzip XML document per batch: DNA before protein, as such logs have them."""
     h = t.history()
     step = F.concat(
@@ -66,7 +66,11 @@ def write_trial_xml(t) -> str:
     rows = targets.select(
         F.concat(F.lit("lab"), F.col("target") % 5).alias("center"), F.lit(1).alias("part"), entry.alias("value")
     )
-    # One well-formed document per batch: the root element around its targets.
+    if damaged:
+        torn = '<target id="torn"><trialList><trial id="1"><status>cloned & expressed</status></trial></trialList></target>'
+        bad = F.explode(F.array(F.lit(torn), F.lit('<target id="lost"><trialList><trial></trialList></target>'), F.lit('<target id="bare"></target>')))
+        rows = rows.unionByName(rows.select("center").distinct().select("center", F.lit(1).alias("part"), bad.alias("value")))
+    # One well-formed document per batch, but for damage: the root element around its targets.
     ends = rows.select("center").distinct().select(
         "center", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit("<targets>").alias("value")),
                                     F.struct(F.lit(2).alias("part"), F.lit("</targets>").alias("value")))).alias("e"),
@@ -97,6 +101,16 @@ def trials_from_xml(t):
     )
 
 
+@query(
+    "center:s targets:i recovered_targets:i broken_targets:i targets_no_trial:i trials:i trials_no_protein_sequence:i",
+    f"""WITH {HISTORY_SQL} SELECT 'lab' || target % 5 AS center, count(DISTINCT target) + 3 AS targets, 1 AS recovered_targets, 1 AS broken_targets,
+      1 AS targets_no_trial, count(DISTINCT target || '/' || day) + 1 AS trials, 1 AS trials_no_protein_sequence FROM hist GROUP BY 1""",
+)
+def xml_parse_counts(t):
+    """Files with a bare ampersand, an element that never ends, and a target without trials in each."""
+    return R.parse_counts(R.read_targets_xml(t.spark, write_trial_xml(t, damaged=True), r"center=([^/]+)/"))
+
+
 @query(
     "header:s sequence:s",
     f"SELECT doc_id || ' 5''->3'' exo' AS header, upper(translate(md5(text) || md5(text || '2'), '{_HEX}', '{_AMINO}')) AS sequence FROM documents",
@@ -207,10 +221,10 @@ def cluster_file(t):
     "state:s n:i",
     """WITH f AS (SELECT (count(*) + 99) // 100 AS n FROM documents)
     SELECT 'ok' AS state, n - 1 AS n FROM f WHERE n > 1
-    UNION ALL SELECT s, 1 FROM (VALUES ('mismatch'), ('missing')) AS v(s)""",
+    UNION ALL SELECT s, 1 FROM (VALUES ('mismatch'), ('missing'), ('superseded')) AS v(s)""",
 )
 def file_integrity(t):
-    """Every written file against a registry in which one hash is wrong and one file is missing."""
+    """Every written file against a registry in which one hash is wrong, one file is missing and one is superseded."""
     path = scratch_path(t.spark, "raw")
     docs = t("documents").select("text")
     docs.repartition(max(1, -(-docs.count() // 100))).write.text(path)
@@ -221,7 +235,8 @@ def file_integrity(t):
     registry = known.withColumn("md5", F.when(wrong, "0").otherwise(F.col("md5"))).unionByName(
         t("documents").agg(F.lit("lost.tar").alias("file"), F.max(F.md5("text")).alias("md5"))
     )
-    return R.verify_files(t.spark, path, registry, "part-*").groupBy("state").agg(F.count("*").alias("n"))
+    old = known.where(wrong).select("file", F.lit("an older download").alias("reason"))
+    return R.verify_files(t.spark, path, registry, "part-*", old).groupBy("state").agg(F.count("*").alias("n"))
 
 
 @query("folder:s", "SELECT DISTINCT 'lang=' || lang || '/source=' || source AS folder FROM documents WHERE doc_id % 2 = 1")

@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 from pathlib import Path
+from urllib.parse import unquote
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,6 +36,13 @@ def with_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, for Python workers, and the path in it."""
+    if path.startswith("file:"):
+        path = "/" + unquote(path[len("file:") :]).lstrip("/")
+    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 

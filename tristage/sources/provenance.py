@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tristage.sources.readers import file_hashes
+
 
 class StaleArtifact(RuntimeError):
     """At least one artifact or input is missing, unstamped or changed; all problems are listed."""
@@ -18,15 +20,8 @@ def table_hash(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """(file, size, sha256) per file below ``path``, hashed where the files are read (< 2 GB each)."""
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "[!._]*").load(path)
-        .select(
-            F.regexp_extract("path", r"([^/]+)$", 1).alias("file"),
-            F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"),
-        )
-    )
+    """(file, size, sha256) per file of any size below ``path``."""
+    return file_hashes(spark, path, "sha256", "[!._]*").withColumnRenamed("hash", "sha256")
 
 
 def artifact_print(spark: SparkSession, path: str) -> dict:

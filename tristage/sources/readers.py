@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tristage.functions.text import (
@@ -11,6 +16,8 @@ from tristage.functions.text import (
 )
 from tristage.functions import labels as L
 from tristage.operators.labels import InvalidData
+from tristage.operators.ordering import join_groups
+from tristage.session import file_system, with_package
 
 # A schema is always given: inference would read ids as timestamps.
 TRIAL_SCHEMA = """
@@ -37,15 +44,47 @@ def read_targets_xml(
     """One row per target with the batch (center) taken from the file path, never from the content.
 
     Hidden ``._*`` companions are skipped. A gzip file is one task, so the rows are meant to be
-    split right after: ``trials`` explodes them.
+    split right after: ``trials`` explodes them. Files are cut at the closing tags and every target is
+    parsed by itself, so that a broken one takes no other with it. A target that is no well-formed XML is
+    mended: bare ampersands are escaped and control characters dropped (``recovered``). What cannot be
+    read even then stays as a row with nothing but its text, in ``corrupt``; ``parse_counts`` counts both.
     """
-    df = (
-        spark.read.format("xml").schema(schema).option("rowTag", row_tag)
-        .option("mode", "PERMISSIVE").option("pathGlobFilter", "[!._]*").load(path)
+    shape = T.StructType.fromDDL(schema).add("corrupt", "string")
+    lines = spark.read.option("lineSep", f"</{row_tag}>").option("pathGlobFilter", "[!._]*").text(path)
+    # The last opening tag that does not close itself, up to the closing tag cut off.
+    opened = rf"(?s)^.*(<{row_tag}(?:\s[^>]*)?(?<!/)>.*)$"
+    target = F.regexp_extract("value", opened, 1)
+    df = lines.select(
+        F.concat(target, F.lit(f"</{row_tag}>")).alias("text"), F.regexp_extract("_metadata.file_path", center_pattern, 1).alias("center")
+    ).where(F.col("text") != f"</{row_tag}>")
+    df = df.where(F.col("center").isin(only)) if only else df
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}
+    clean = F.regexp_replace("text", "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", "")
+    clean = F.regexp_replace(clean, "&(?!(?:#[0-9]+|#x[0-9A-Fa-f]+|amp|lt|gt|quot|apos);)", "&amp;")
+    read = df.select("center", "text", F.from_xml("text", shape, options).alias("t"))
+    read = read.withColumn("mended", F.when(F.col("t.corrupt").isNotNull(), F.from_xml(clean, shape, options)))
+    broken = F.col("t.corrupt").isNotNull()
+    recovered = broken & F.col("mended.corrupt").isNull()
+    # Half-read fields of a lost target are worth nothing.
+    kept = F.when(~broken, F.col("t")).when(recovered, F.col("mended"))
+    both = read.select(kept.alias("t"), "center", recovered.alias("recovered"), F.when(broken & ~recovered, F.col("text")).alias("corrupt"))
+    return both.select(*[F.col(f"t.{c}").alias(c) for c in shape.names if c != "corrupt"], "center", "recovered", "corrupt")
+
+
+def parse_counts(targets: DataFrame) -> DataFrame:
+    """Per batch: targets, those mended, lost and without trials, trials, and those without a protein."""
+    def total(c):
+        return F.coalesce(F.sum(c), F.lit(0))
+
+    rows = targets.select("center", "recovered", F.col("corrupt").isNotNull().alias("lost"), F.coalesce(F.size("trialList.trial"), F.lit(0)).alias("n"))
+    n = F.greatest(F.col("n"), F.lit(0))  # the size of a missing array may be -1
+    read = rows.groupBy("center").agg(
+        F.count("*").alias("targets"), F.count_if("recovered").alias("recovered_targets"), F.count_if("lost").alias("broken_targets"),
+        F.count_if((n == 0) & ~F.col("lost")).alias("targets_no_trial"), total(n).alias("trials"),
     )
-    own = [c for c in df.columns if c != "center"]
-    df = df.select(*own, F.regexp_extract("_metadata.file_path", center_pattern, 1).alias("center"))
-    return df.where(F.col("center").isin(only)) if only else df
+    kept = trials(targets).groupBy("center").agg(F.count("*").alias("_kept"))
+    joined = join_groups(read, kept, ["center"], "left")
+    return joined.withColumn("trials_no_protein_sequence", F.col("trials") - F.coalesce("_kept", F.lit(0))).drop("_kept")
 
 
 def _text(col: Column) -> Column:
@@ -222,31 +261,68 @@ def task_counts(tasks: DataFrame, tool: str = "tool", status: str = "status") ->
 LARGEST_BINARY = 2**31 - 1024
 
 
-def verify_files(spark: SparkSession, folder: str, expected: DataFrame, glob: str = "*") -> DataFrame:
-    """State of every registered file (path, md5): ok, mismatch, missing or too_large.
+def _stream_hash(files: DataFrame, algorithm: str) -> DataFrame:
+    """(path, hash) of files of any size, each read by one task in pieces."""
+    with_package(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                system, place = file_system(path)
+                digest = hashlib.new(algorithm)
+                with system.open_input_stream(place, compression=None) as stream:
+                    while piece := stream.read(1 << 20):
+                        digest.update(piece)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([digest.hexdigest()])], ["path", "hash"])
+
+    slots = files.sparkSession.sparkContext.defaultParallelism
+    return files.select("path").repartition(4 * slots, "path").mapInArrow(run, "path string, hash string")
+
+
+def file_hashes(spark: SparkSession, folder: str, algorithm: str = "md5", glob: str = "*") -> DataFrame:
+    """(file, size, hash) of all files below a folder, ``md5`` or ``sha256``.
 
-    Each file is hashed in one task. Files above the binary source's limit of 2 GB are not read.
+    Empty files are not listed: the source leaves them out. Files within the binary source's limit of 2 GB are hashed where Spark reads them; larger ones are
+    streamed by a task each.
     """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob).load(folder)
     )
-    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("file")
+    one = F.md5("content") if algorithm == "md5" else F.sha2("content", 256)
     # The source reads no content of files that this filter leaves out.
-    hashed = files.where(F.col("length") <= LARGEST_BINARY).select(name, F.md5("content").alias("found_md5"), F.lit(False).alias("large"))
-    large = files.where(F.col("length") > LARGEST_BINARY).select(name, F.lit(None).cast("string").alias("found_md5"), F.lit(True).alias("large"))
-    found = hashed.unionByName(large)
+    small = files.where(F.col("length") <= LARGEST_BINARY).select("path", F.col("length").alias("size"), one.alias("hash"))
+    large = files.where(F.col("length") > LARGEST_BINARY).select("path", F.col("length").alias("size"))
+    streamed = large.join(_stream_hash(large, algorithm), "path")
+    return small.unionByName(streamed).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "size", "hash")
+
+
+def verify_files(
+    spark: SparkSession, folder: str, expected: DataFrame, glob: str = "*", superseded: DataFrame | None = None
+) -> DataFrame:
+    """State of every registered file (path, md5): ok, mismatch or missing.
+
+    Files of ``superseded`` (file, reason) that are still there are reported as well, with their reason:
+    they are kept, and not to be used.
+    """
+    found = file_hashes(spark, folder, "md5", glob).select("file", F.col("hash").alias("found_md5"))
     state = (
-        F.when(F.col("large"), "too_large").when(F.col("found_md5").isNull(), "missing")
-        .when(F.col("found_md5") == F.col("md5"), "ok").otherwise("mismatch")
+        F.when(F.col("found_md5").isNull(), "missing").when(F.col("found_md5") == F.col("md5"), "ok").otherwise("mismatch")
     )
-    return found.join(expected, "file", "right").select("file", "md5", "found_md5", state.alias("state"))
+    none = F.lit(None).cast("string")
+    out = found.join(expected, "file", "right").select("file", "md5", "found_md5", state.alias("state"), none.alias("reason"))
+    if superseded is None:
+        return out.drop("reason")
+    old = found.join(superseded, "file").select("file", none.alias("md5"), "found_md5", F.lit("superseded").alias("state"), "reason")
+    return out.unionByName(old)
 
 
 def stray_folders(spark: SparkSession, folder: str) -> DataFrame:
     """Folders below a raw source's own folder: unpacked archives that belong elsewhere."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    rest = F.regexp_extract("path", f"{folder}/(.*)", 1)
+    # Paths come back with a scheme that the given folder may lack; the rest is compared as it is.
+    own = re.sub("^[A-Za-z0-9]+:/*", "", folder).strip("/") + "/"
+    rest = F.substr(F.col("path"), F.locate(own, "path") + F.lit(len(own)))
     depth = F.size(F.split(rest, "/"))
     return files.select(rest.alias("p"), depth.alias("d")).where("d > 3").select(
         F.regexp_extract("p", r"^([^/]+/[^/]+)/", 1).alias("folder")
