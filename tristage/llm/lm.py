@@ -39,7 +39,7 @@ _LEFT, _RIGHT = mix64(np.array([2, 3], np.uint64)) | np.uint64(1)
 LEARN, DELETED, OTHER = 0, 1, 2  # kinds of texts: counted, counted and used for the weights, only scored
 LEAST_CHARS = 2_000_000
 BUCKETS = 40
-BINS = 48  # of each probability's logarithm, in the summary that the weights are learnt from
+BINS = 48  # of each probability's logarithm, in the summary of events, for up to some ten million tokens
 ROUNDS = 60
 
 
@@ -189,8 +189,8 @@ def _looked_up(back: pa.Table, column: str) -> dict[int, np.ndarray]:
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
-    """0 for an unseen context, else one more than the logarithm of its count."""
-    return np.where(context > 0, 1 + np.log2(np.maximum(context, 1)).astype(np.int64), 0)
+    """0 for an unseen context, else one more than the logarithm of its count; the last one is open."""
+    return np.where(context > 0, np.minimum(1 + np.log2(np.maximum(context, 1)).astype(np.int64), BUCKETS - 1), 0)
 
 
 def _estimates(own: _Batch, counts: dict[int, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,31 +201,36 @@ def _estimates(own: _Batch, counts: dict[int, np.ndarray], n: int) -> tuple[np.n
     return _bucket(context), p2, words[own.tokens] / max(n, 1)
 
 
-def _bins(p: np.ndarray) -> np.ndarray:
-    return np.where(p > 0, 1 + np.clip(-2 * np.log2(np.maximum(p, 1e-300)), 0, BINS - 2).astype(np.int64), 0)
+def bins_for(tokens: int) -> int:
+    """Enough bins of half a binary digit for estimates down to one in ``tokens``."""
+    return max(BINS, 2 * math.ceil(math.log2(max(tokens, 2))) + 3)
+
+
+def _bins(p: np.ndarray, bins: int = BINS) -> np.ndarray:
+    return np.where(p > 0, 1 + np.clip(-2 * np.log2(np.maximum(p, 1e-300)), 0, bins - 2).astype(np.int64), 0)
 
 
 def _summary(n: int, key: tuple, texts: pa.Table, back: pa.Table) -> pa.Table:
     """Of the deleted texts' tokens, by bucket and bins of both estimates: number and sums, under the
     counts of the other training texts."""
-    out = []
+    out, bins = [], bins_for(n)
     for row in texts.to_pylist():
         own = _Batch(row)
         every, deleted = _looked_up(back, "learnt"), _looked_up(back, "deleted")
         bucket, p2, p1 = _estimates(own, {g: every[g] - deleted[g] for g in every}, n)
-        code, place = np.unique((bucket * BINS + _bins(p2)) * BINS + _bins(p1), return_inverse=True)
+        code, place = np.unique((bucket * bins + _bins(p2, bins)) * bins + _bins(p1, bins), return_inverse=True)
         sums = [np.bincount(place, w, len(code)) for w in (np.ones(len(place)), p2, p1)]
         out += zip(code.tolist(), *(s.tolist() for s in sums))
     columns = list(zip(*out)) if out else [[]] * 4
     return pa.table([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.float64()) for c in columns[1:]]], names=["code", "k", "p2", "p1"])
 
 
-def mixture_weights(code: np.ndarray, k: np.ndarray, p2: np.ndarray, p1: np.ndarray, p0: float) -> np.ndarray:
+def mixture_weights(code: np.ndarray, k: np.ndarray, p2: np.ndarray, p1: np.ndarray, p0: float, bins: int = BINS) -> np.ndarray:
     """(l2, l1, l0) per bucket of context frequency, by expectation-maximisation.
 
     A bucket without events takes the weights of all events; an unseen context has no bigram estimate.
     """
-    bucket = code // (BINS * BINS)
+    bucket = code // (bins * bins)
     p = np.stack([p2, p1, np.full(len(code), p0)], 1)
 
     def learn(mine: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -251,7 +256,7 @@ def _scored(n: int, distinct: int, weights: np.ndarray, key: tuple, texts: pa.Ta
         own = _Batch(row)
         counts = _looked_up(back, "learnt")
         bucket, p2, p1 = _estimates(own, counts, n)
-        mix = weights[np.minimum(bucket, BUCKETS - 1)]
+        mix = weights[bucket]
         model = np.log10(mix[:, 0] * p2 + mix[:, 1] * p1 + mix[:, 2] / (distinct + 1))
         seen = counts[1][own.tokens].astype(np.float64)
         base = np.log10((seen + 1) / (n + distinct + 1))
@@ -283,10 +288,10 @@ def score(docs: DataFrame, kind: Column, id_col: str = "doc_id", text_col: str =
     events = batches.where(F.col("kind") == DELETED).groupBy("batch")
     of_deleted = totals.where("batch is not null and deleted is not null").select("batch", "part", "gram", "learnt", "deleted").groupBy("batch")
     found = events.cogroup(of_deleted).applyInArrow(_with_key(_summary, n - deleted), "code long, k double, p2 double, p1 double")
-    # At most BUCKETS * BINS * BINS rows.
+    # At most BUCKETS * bins * bins rows: 310,000 for 10^13 tokens.
     summed = found.groupBy("code").agg(*[F.sum(c).alias(c) for c in ("k", "p2", "p1")]).orderBy("code").collect()
     code, k, p2, p1 = np.array([tuple(r) for r in summed], np.float64).reshape(-1, 4).T
-    weights = mixture_weights(code.astype(np.int64), k, p2 / np.maximum(k, 1), p1 / np.maximum(k, 1), 1 / (distinct + 1))
+    weights = mixture_weights(code.astype(np.int64), k, p2 / np.maximum(k, 1), p1 / np.maximum(k, 1), 1 / (distinct + 1), bins_for(n - deleted))
 
     id_type = rows.schema["id"].dataType.simpleString()
     shape = f"doc_id {id_type}, kind int, n_tokens long, n_known long, base_score double, score double"
