@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tristage.functions.numeric import hypergeometric_cdf, two_sided_p
 from tristage.operators import metrics as M
+from tristage.operators import ordering as O
 from tristage.operators import stats as S
 from tristage.operators.ordering import dense_index, exact_quantiles, running
 
@@ -62,6 +63,25 @@ def test_resolution_matches_published_values(spark):
     assert out == pytest.approx([0.996867449367835, 0.9626495372091807, 0.9853371710952763], rel=1e-9)
 
 
+@pytest.mark.parametrize("n_buckets", [None, 65, 5000])
+def test_order_over_many_buckets(spark, n_buckets, monkeypatch):
+    monkeypatch.setattr(O, "SPAN", 7)
+    rnd = random.Random(4)
+    keys = rnd.sample(range(10**6), 6000)
+    df = spark.createDataFrame([(k, k % 7, "g" if i % 3 else None) for i, k in enumerate(keys)], "k long, n long, g string").repartition(5)
+    bucketed = O.with_buckets(df, ["g"], "k", n_buckets)
+    spans = bucketed.groupBy("g", "_bucket").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("g", "_bucket").collect()
+    assert len(spans) > (100 if n_buckets != 65 else 60)
+    assert all(a["hi"] < b["lo"] for a, b in zip(spans, spans[1:]) if a["g"] == b["g"])
+    got = {r["k"]: (r["cum_n"], r["total_n"]) for r in running(df, ["g"], "k", ["n"], n_buckets=n_buckets).collect()}
+    assert len(got) == len(keys)
+    for own in (sorted(k for i, k in enumerate(keys) if i % 3), sorted(k for i, k in enumerate(keys) if i % 3 == 0)):
+        sums = list(itertools.accumulate(k % 7 for k in own))
+        assert all(got[k] == (s, sums[-1]) for k, s in zip(own, sums))
+    ids = {r["k"]: r["at"] for r in dense_index(df.select("k"), "k", "at").collect()}
+    assert ids == {k: i for i, k in enumerate(sorted(keys))}
+
+
 def test_two_sided_p(spark):
     zs = [0.0, 0.5, 1.96, 3.0, 3.6, 5.0, 9.3, -9.3]
     df = spark.createDataFrame([(z,) for z in zs], "z double").select(two_sided_p(F.col("z")))

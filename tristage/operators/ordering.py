@@ -2,16 +2,19 @@
 
 A window without (or with a hot) partition key runs in one task. Here the key range is cut into
 buckets at values drawn from the data, each bucket is a window of its own, and the bucket totals
-(at most ``n_buckets + 1`` per group) carry the running sums across. The cut points are the
-min-hash picks of ``n_buckets`` hash slots, so they depend on the data only and come out the same
-however often and wherever the plan is evaluated.
+carry the running sums across. One key in ``SPAN`` may be a cut point, and the min-hash picks of
+``BUCKETS`` hash slots are: so the number of buckets follows the number of keys up to ``BUCKETS`` without
+counting them, and small groups are one bucket. The cut points depend on the data only and come out the
+same however often and wherever the plan is evaluated.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-BUCKETS = 64
+BUCKETS = 4096
+SPAN = 8192
+STEP = 64  # cut points that one comparison of the first level stands for
 
 
 def join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
@@ -25,18 +28,31 @@ def join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "in
     return left.join(other, same, how).drop(*[f"_right_{c}" for c in by])
 
 
-def with_buckets(df: DataFrame, by: list[str], key: str, n_buckets: int = BUCKETS) -> DataFrame:
-    """Add ``_bucket``, an order-preserving bucket of ``key`` within the groups of ``by``."""
-    # The order of the picks is a hash of the whole row. With a pruned copy of ``df`` its shuffle
-    # could not be reused here, and the input would be scanned a second time.
+def with_buckets(df: DataFrame, by: list[str], key: str, n_buckets: int | None = None) -> DataFrame:
+    """Add ``_bucket``, an order-preserving bucket of ``key`` within the groups of ``by``.
+
+    With ``n_buckets`` given, every key may be a cut point, so there are about that many in any data.
+    """
+    span, slots = (SPAN, BUCKETS) if n_buckets is None else (1, n_buckets)
+    # The order of the picks is a hash of the whole row, and no filter leaves rows out before. With a
+    # pruned copy of ``df`` its shuffle could not be reused here, and the input would be scanned again.
     row = F.xxhash64(key, *[c for c in df.columns if c not in (*by, key)])
-    picks = df.groupBy(*by, F.pmod(F.xxhash64(key), F.lit(n_buckets)).alias("_slot")).agg(
-        F.min_by(key, row).alias("_pick")
+    spread = F.xxhash64(key)
+    chosen = F.pmod(F.shiftrightunsigned(spread, 20), F.lit(span)) == 0
+    picks = df.groupBy(*by, F.pmod(spread, F.lit(slots)).alias("_slot")).agg(
+        F.min_by(F.when(chosen, F.col(key)), F.when(chosen, row)).alias("_pick")
     )
     bounds = picks.groupBy(*by).agg(F.sort_array(F.collect_set("_pick")).alias("_bounds"))
-    # ``bounds`` has one row of at most n_buckets values when there are no groups.
+    # ``bounds`` has one row of at most as many values as slots when there are no groups.
     joined = join_groups(df, bounds, by) if by else df.join(F.broadcast(bounds))
-    below = F.size(F.filter("_bounds", lambda b: b < F.col(key)))
+    if slots > STEP:
+        # Two levels: every STEP-th cut point, then the STEP ones from the last of these below the key.
+        coarse = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_bounds") - 1, F.lit(0)), F.lit(STEP)), lambda i: F.get("_bounds", i))
+        block = F.size(F.filter(coarse, lambda b: b < F.col(key)))
+        near = F.slice("_bounds", F.greatest(block - 1, F.lit(0)) * STEP + 1, F.lit(STEP))
+        below = F.greatest(block - 1, F.lit(0)) * STEP + F.size(F.filter(near, lambda b: b < F.col(key)))
+    else:
+        below = F.size(F.filter("_bounds", lambda b: b < F.col(key)))
     return joined.withColumn("_bucket", below).drop("_bounds")
 
 
@@ -46,7 +62,7 @@ def running(
     key: str,
     sums: list[str],
     descending: bool = False,
-    n_buckets: int = BUCKETS,
+    n_buckets: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums ``cum_<c>`` in the order of ``key`` (unique within a group), and
     the groups' ``total_<c>``."""
@@ -91,7 +107,7 @@ def dense_index(df: DataFrame, key: str, name: str, by: list[str] | None = None)
 
 
 def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, qs: dict[str, float], n_buckets: int = BUCKETS
+    df: DataFrame, by: list[str], value: str, qs: dict[str, float], n_buckets: int | None = None
 ) -> DataFrame:
     """Linear-interpolation quantiles from (value, count) cells, for values with many levels."""
     cells = df.groupBy(*by, value).agg(F.count("*").alias("_n"))

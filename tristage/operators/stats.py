@@ -14,7 +14,6 @@ from tristage.functions.hashing import keyed, modulo
 from tristage.functions.numeric import hypergeometric_cdf, two_sided_p
 from tristage.operators.metrics import average_precision
 from tristage.operators.ordering import (
-    BUCKETS,
     dense_index,
     exact_quantiles,
     join_groups,
@@ -298,7 +297,7 @@ def direction_table(first: DataFrame, second: DataFrame, on: list[str]) -> DataF
 
 
 def rank_auc(
-    df: DataFrame, value: str, positive: str, by: list[str] | None = None, n_buckets: int = BUCKETS
+    df: DataFrame, value: str, positive: str, by: list[str] | None = None, n_buckets: int | None = None
 ) -> DataFrame:
     """P(value of a positive > value of a negative), ties by average rank; NULL without both."""
     by = by or []
