@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -75,6 +75,23 @@ def embedding_head(train: DataFrame, emb: str = "embedding", reg: float = 1e-4,
     return LogisticRegression(weightCol="w", regParam=reg, maxIter=max_iter).fit(weighted)
 
 
+def perceptron_head(
+    train: DataFrame, emb: str = "embedding", hidden: int = 256, max_iter: int = 100, seed: int = 0
+):
+    """A head with one hidden layer on stored vectors. Its learner takes no weights, so rows of the
+    rarer class are repeated, as often as the other class outnumbers it (rounded)."""
+    p, n, width = train.agg(F.sum("y"), F.count("*"), F.max(F.size(emb))).first()
+    if not n:
+        raise ValueError("no rows to learn from")
+    ratio = max(1, round(max(p, n - p) / max(1, min(p, n - p))))
+    rarer = F.col("y") == (1 if p <= n - p else 0)
+    times = F.explode(F.array_repeat(F.lit(1), F.when(rarer, ratio).otherwise(1)))
+    rows = train.select(array_to_vector(emb).alias("features"), F.col("y").cast("double").alias("label"), times)
+    # The outcomes differ with the sigmoid's start only, which the seed fixes.
+    learner = MultilayerPerceptronClassifier(layers=[width, hidden, 2], maxIter=max_iter, seed=seed, blockSize=256)
+    return learner.fit(cut(rows.select("features", "label")))
+
+
 def score_embeddings(model, df: DataFrame, emb: str = "embedding") -> DataFrame:
     return probability(model, df.withColumn("features", array_to_vector(emb))).drop("features")
 
