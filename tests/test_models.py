@@ -25,6 +25,50 @@ def test_embedding_head_separates(vectors):
     assert right > 0.9 and "features" not in scored.columns
 
 
+def test_perceptron_learns_what_no_line_parts(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(900):
+        a, b = rng.choice([-1.0, 1.0]), rng.choice([-1.0, 1.0])
+        y = int(a * b > 0)
+        if y and rng.random() < 0.6:  # the positives are the rarer class
+            continue
+        rows.append((i, [a + rng.gauss(0, 0.15), b + rng.gauss(0, 0.15)], y))
+    df = spark.createDataFrame(rows, "id bigint, embedding array<double>, y int").cache()
+    train, test = df.where("id % 4 <> 0"), df.where("id % 4 = 0")
+
+    def right(model):
+        scored = D.score_embeddings(model, test)
+        return scored.select(F.avg(((F.col("score") > 0.5) == (F.col("y") == 1)).cast("int"))).first()[0]
+
+    assert right(D.embedding_head(train)) < 0.8 < 0.95 < right(D.perceptron_head(train, hidden=8, seed=3))
+    with pytest.raises(ValueError):
+        D.perceptron_head(train.limit(0))
+
+
+def test_cross_against_within_scores_the_same_rows(spark):
+    """In every batch the class follows a sign of the batch's own: only its own rows teach it."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(800):
+        fold, side, y = i % 2, ("test", "train")[i // 2 % 2], i // 4 % 2
+        sign = 1 if side == "test" else -1
+        rows.append((i, i // 8, fold, side, [sign * (2 * y - 1) + rng.gauss(0, 0.3)], y))
+    df = spark.createDataFrame(rows, "id bigint, grp bigint, fold int, side string, embedding array<double>, y int")
+    out = D.cross_vs_within(
+        df, "grp", D.embedding_head, D.score_embeddings, k_inner=2, min_test=20, min_positives=5, min_within=20, min_within_positives=5, ks=(10,)
+    ).collect()
+    got = {(r["fold"], r["inner"], r["regime"]): r for r in out}
+    assert len(got) == 8
+    for fold in (0, 1):
+        for inner in (0, 1):
+            cross, within = got[fold, inner, "cross"], got[fold, inner, "within"]
+            assert (cross["n_rows"], cross["n_positive"]) == (within["n_rows"], within["n_positive"])
+            assert within["pr_auc"] > 0.9 > 0.6 > cross["pr_auc"]
+    with pytest.raises(ValueError):
+        D.cross_vs_within(df, "grp", D.embedding_head, D.score_embeddings, min_test=10_000)
+
+
 def test_identity_probe_names_the_batch(vectors):
     row = D.identity_probe(vectors, "center", "embedding", "id", 3).first()
     assert row["n_test"] > 50 and row["accuracy"] > 0.9 and abs(row["gain"] - (row["accuracy"] - row["majority_share"])) < 1e-12
