@@ -39,11 +39,15 @@ def violations(df: DataFrame, stages: list[str] = STAGES) -> DataFrame:
     return df.where(~L.is_valid(L.as_array(stages)))
 
 
+def fail_on(bad: DataFrame, what: str, shown: int = 20) -> None:
+    """Raise if there are any rows: how many, and a few of them as examples."""
+    examples = [tuple(r) if len(r) > 1 else r[0] for r in bad.limit(shown).collect()]
+    if examples:
+        raise InvalidData(f"{what}: {bad.count()}, for example {examples}")
+
+
 def require_valid(df: DataFrame) -> DataFrame:
-    shown = [c for c in ("record_id", *LABELS) if c in df.columns]
-    bad = violations(df).select(*shown).limit(5).collect()
-    if bad:
-        raise InvalidData(f"invalid label vectors, for example {bad}")
+    fail_on(violations(df).select(*[c for c in ("record_id", *LABELS) if c in df.columns]), "invalid label vectors", 5)
     return df
 
 
@@ -56,9 +60,7 @@ def checked(df: DataFrame) -> DataFrame:
 def require_domain(df: DataFrame, col: str, allowed: list) -> DataFrame:
     """Fail on values outside the domain (NULL is allowed)."""
     unknown = df.where(F.col(col).isNotNull() & ~F.col(col).isin(allowed)).select(col).distinct()
-    found = [r[0] for r in unknown.limit(20).collect()]
-    if found:
-        raise InvalidData(f"{col}: unknown values {found}")
+    fail_on(unknown, f"{col}: unknown values")
     return df
 
 
@@ -77,9 +79,7 @@ def unmatched(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
 
 def require_matched(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """Left join that fails when a key has no partner."""
-    missing = [r[0] for r in unmatched(df, other, key).select(key).limit(5).collect()]
-    if missing:
-        raise InvalidData(f"{key}: no match for {missing}")
+    fail_on(unmatched(df, other, key).select(key), f"{key}: rows without a match", 5)
     return df.join(other, key, "left")
 
 
@@ -260,15 +260,19 @@ def normalise(df: DataFrame) -> DataFrame:
 def demote_duplicates(
     df: DataFrame, weak: str, strong: str, key: str, label: str
 ) -> DataFrame:
-    """Rows of the weak source whose key the strong source also has lose one label, not the row."""
+    """Rows of the weak source whose key the strong source also has lose one label, not the row.
+
+    Keys are whole sequences, so their SHA-256 is joined on.
+    """
+    digest = F.sha2(F.col(key).cast("string"), 256)
     known = (
         df.where(F.col("source") == strong)
-        .select(F.col(key).alias("_k"))
+        .select(digest.alias("_k"))
         .distinct()
         .withColumn("_known", F.lit(True))
     )
     is_weak = F.col("source") == weak
-    joined = df.join(known, is_weak & (F.col(key) == F.col("_k")), "left")
+    joined = df.join(known, is_weak & (digest == F.col("_k")), "left")
     return joined.withColumn(
         label, F.when(F.col("_known"), UNOBSERVED).otherwise(F.col(label))
     ).drop("_k", "_known")

@@ -11,7 +11,7 @@ from tristage.functions.text import (
     letter_count,
     letter_set_count,
 )
-from tristage.operators.labels import InvalidData
+from tristage.operators.labels import fail_on
 from tristage.operators.ordering import sample_rows
 from tristage.schema import STAGES
 
@@ -271,6 +271,4 @@ def cross_check(expected: DataFrame, actual: DataFrame, on: list[str]) -> DataFr
 
 
 def require_equal(expected: DataFrame, actual: DataFrame, on: list[str]) -> None:
-    bad = cross_check(expected, actual, on).limit(10).collect()
-    if bad:
-        raise InvalidData(f"stored and recomputed counters differ: {bad}")
+    fail_on(cross_check(expected, actual, on), "stored and recomputed counters differ", 10)

@@ -426,6 +426,11 @@ def listed_if_few(df: DataFrame, limit: int = 50) -> DataFrame:
 # ---------------------------------------------------------------- paired and resolution tests
 
 
+def paired_runs(first: DataFrame, second: DataFrame, on: list[str], score: str = "score") -> DataFrame:
+    """(on, a, b): the scores of two runs for the rows that both have."""
+    return first.select(*on, F.col(score).alias("a")).join(second.select(*on, F.col(score).alias("b")), on)
+
+
 def paired_shift(pairs: DataFrame, before: str = "a", after: str = "b") -> DataFrame:
     """Paired change with a Wilcoxon signed-rank test (zeros left out, tie-corrected normal)."""
     d = pairs.select((F.col(after) - F.col(before)).alias("d"))

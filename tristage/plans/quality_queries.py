@@ -178,21 +178,6 @@ def data_gate(t):
     )
 
 
-@query(
-    "reproduced:d all_clean:b within:b passed:b",
-    f"""WITH {LINES_SQL}, r AS (SELECT center, avg((label_express = -1)::INT) AS v FROM lines GROUP BY center),
-    s AS (SELECT CASE WHEN count(*) > 0 THEN 'PASS' ELSE 'FAIL' END AS verdict, center FROM lines GROUP BY center),
-    x AS (SELECT (SELECT avg(v) FROM r) AS reproduced, (SELECT bool_and(verdict = 'PASS') FROM s) AS all_clean)
-    SELECT *, abs(reproduced - 0.06) <= 0.05 AS within, abs(reproduced - 0.06) <= 0.05 AND all_clean AS passed FROM x""",
-)
-def reproduction_gate(t):
-    rates = t.lines().groupBy("center").agg(
-        F.avg((F.col("label_express") == -1).cast("int")).alias("v"),
-        F.when(F.count("*") > 0, "PASS").otherwise("FAIL").alias("verdict"),
-    )
-    return Q.reproduction_gate(rates, "v", 0.06, 0.05, rates, "verdict")
-
-
 @query(
     "center:s counter:s expected:i actual:i",
     f"""WITH {LINES_SQL}, a AS (

@@ -232,10 +232,8 @@ def listed_when_few(t):
 # ---------------------------------------------------------------- paired and resolution tests
 
 
-@query(
-    "n:i mean_shift:d std_shift:d abs_mean:d frac_up:d frac_gt_05:d frac_gt_10:d median_shift:d w_statistic:d z:d wilcoxon_p:d",
-    """WITH d AS (SELECT l_tax - l_discount AS d FROM lineitem),
-    b AS (SELECT count(*) AS n, avg(d) AS mean_shift, stddev_pop(d) AS std_shift, avg(abs(d)) AS abs_mean, avg((d > 0)::INT) AS frac_up,
+_SHIFT = "n:i mean_shift:d std_shift:d abs_mean:d frac_up:d frac_gt_05:d frac_gt_10:d median_shift:d w_statistic:d z:d wilcoxon_p:d"
+_SHIFT_SQL = """b AS (SELECT count(*) AS n, avg(d) AS mean_shift, stddev_pop(d) AS std_shift, avg(abs(d)) AS abs_mean, avg((d > 0)::INT) AS frac_up,
       avg((abs(d) > 0.05)::INT) AS frac_gt_05, avg((abs(d) > 0.10)::INT) AS frac_gt_10, quantile_cont(d, 0.5) AS median_shift FROM d),
     k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS rk FROM d WHERE d <> 0),
     ti AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM k GROUP BY abs(d))),
@@ -244,13 +242,27 @@ def listed_when_few(t):
     p AS (SELECT least(1.0, 2 * sum(CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
         * exp(-((abs(z) + i * 0.003) ** 2) / 2)) * 0.003 / 3 / sqrt(2 * pi())) AS wilcoxon_p
       FROM z, (SELECT unnest(range(4001)) AS i))
-    SELECT * FROM b, z, p""",
-)
+    SELECT * FROM b, z, p"""
+
+
+@query(_SHIFT, "WITH d AS (SELECT l_tax - l_discount AS d FROM lineitem), " + _SHIFT_SQL)
 def paired_score_shift(t):
     pairs = t("lineitem").select(F.col("l_discount").alias("a"), F.col("l_tax").alias("b"))
     return S.paired_shift(pairs)
 
 
+@query(
+    _SHIFT,
+    f"""WITH {VECTOR_SCORES_SQL}, d AS (SELECT y.s1 - x.s0 AS d FROM vec x JOIN vec y ON y.id = x.id WHERE x.id % 7 <> 0 AND y.id % 5 <> 0), """ + _SHIFT_SQL,
+)
+def paired_runs_shift(t):
+    """Two runs over the same rows, joined on the id; each lacks some that the other has."""
+    v = t.vector_scores()
+    first = v.where("id % 7 <> 0").select("id", F.col("s0").alias("score"))
+    second = v.where("id % 5 <> 0").select("id", F.col("s1").alias("score"))
+    return S.paired_shift(S.paired_runs(first, second, ["id"]))
+
+
 _LNC = "lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1)"
 
 

@@ -15,7 +15,7 @@ from tristage.functions.text import (
     first_typed_clean,
 )
 from tristage.functions import labels as L
-from tristage.operators.labels import InvalidData
+from tristage.operators.labels import fail_on
 from tristage.operators.ordering import join_groups
 from tristage.session import file_system, with_package
 
@@ -172,9 +172,7 @@ def read_by_manifest(
         spark.read.format("binaryFile").load(folder)
         .select(F.regexp_extract("path", r"([^/]+)$", 1).alias(file_col))
     )
-    missing = [r[0] for r in meta.select(file_col).join(files, file_col, "left_anti").limit(5).collect()]
-    if missing:
-        raise InvalidData(f"files named in the metadata are missing: {missing}")
+    fail_on(meta.select(file_col).join(files, file_col, "left_anti"), "files named in the metadata are missing", 5)
     return rows.join(meta, file_col)
 
 
