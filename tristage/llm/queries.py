@@ -148,6 +148,19 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+# Five hexadecimal digits of the SHA-1 are four letters of base 32.
+OP12_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT *, upper(sha1(html)) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM h
+"""
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return alignment.align_corpus(docs, tokenizer_path(BYTE_BPE), tokenizer_path(PIECE_BPE))
@@ -168,4 +181,4 @@ QUERIES = {
     "op12_warc": op12_warc,
     "op13_token_alignment": op13_token_alignment,
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_top_k": OP5_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_top_k": OP5_SQL, "op12_warc": OP12_SQL}
