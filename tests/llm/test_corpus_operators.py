@@ -184,6 +184,10 @@ def family_docs(seed):
 def test_classes_are_those_of_all_pairs(spark, monkeypatch, hot):
     monkeypatch.setattr(jaccard, "HOT_ROWS", hot)
     monkeypatch.setattr(jaccard, "CELL", 3)
+    if hot == 2:
+        monkeypatch.setattr(jaccard, "BLOCK", 2)
+        monkeypatch.setattr(jaccard, "HOT_SHARE", 80)  # sets of two rows are hot
+        monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
     docs = [*family_docs(hot), (900, "x y z " * 30_000), (None, "a b c"), (None, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"n": F.lit("own"), "gid": F.lit(1), "token": F.lit(2)})
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.similarity_classes(df).collect() if r["doc_id"] is not None}
@@ -209,6 +213,22 @@ def test_groups_with_one_prefix_are_compared_inside(spark, monkeypatch):
     assert got == plain_classes(docs)
 
 
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_pairs_of_lists_come_once(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = [(t, g) for t, size in ((1, 1), (2, 2), (3, 25)) for g in range(size)]
+    got = jaccard.list_pairs(spark.createDataFrame(rows, "token long, gid long")).collect()
+    want = sorted((t, g, h) for t, g in rows for u, h in rows if t == u and g < h)
+    assert sorted((r["token"], *sorted((r["gid_x"], r["gid_y"]))) for r in got) == want
+
+
+def test_no_task_holds_the_pairs_of_a_long_list(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 50)
+    keys = ["token", "_bx", "_by"]
+    dealt = jaccard.list_pairs(spark.range(2000).selectExpr("7L token", "id gid")).groupBy(*keys).count().collect()
+    assert sum(r["count"] for r in dealt) == 2000 * 1999 // 2 and max(r["count"] for r in dealt) < 90 * 90
+
+
 @pytest.mark.parametrize("texts", [["a"], ["a b"], ["a b c d"], ["", None], ["a b c d e"], ["a b c d e f", "g"]])
 def test_shingles_of_few_words(texts):
     code, sizes = jaccard.shingles(pa.array(texts, pa.string()))

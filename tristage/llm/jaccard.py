@@ -17,8 +17,10 @@ of any texts meet with a probability of about 2^-64). Two documents link when th
    is not yet connected is expanded to its members, and those pairs are checked. No pair inside a
    component is listed, and no pair that could connect two is left out.
 
-Checks read the whole texts of both sides; a document with many partners is compared in cells of
-``CELL``. Frequent shingles are salted. Rows without words have an empty set and no link. Rows that
+Checks read the whole texts of both sides; a document with many partners is compared in cells of about
+``CELL``. Frequent shingles are salted, and the pairs of a long list are dealt in blocks of ``BLOCK`` rows by
+``BLOCK``. Sets of more than a thousandth of all rows get their component by broadcast, so that no task has
+all their rows. Rows without words have an empty set and no link. Rows that
 share an id are one document that links if any of its texts does; rows without an id get the
 component of the documents whose set they share, if there is one.
 """
@@ -42,6 +44,8 @@ WORDS = 5
 SIMILAR = 80  # percent
 CHUNK = 4096  # counters of a row of the sketch
 CELL = 256
+BLOCK = 4096  # rows of a list on either side of a task's pairs
+HOT_SHARE = 1000  # a set with more than one row in so many is hot
 BROADCAST_ROWS = 1_000_000  # two or three numbers each
 HOT_ROWS = 20_000  # rows of a shingle in one salt, about
 _STEPS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -164,8 +168,9 @@ def linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
     need = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = cut(texts.join(_small_side(need), "id", "left_semi"))
-    turn = F.row_number().over(Window.partitionBy("b").orderBy("a"))
-    celled = cut(pairs.withColumn("cell", F.floor((turn - 1) / CELL).cast("int")))
+    many = cut(pairs.groupBy("b").agg(F.ceil(F.count("*") / CELL).cast("int").alias("_cells")).where("_cells > 1"))
+    spread = F.pmod(F.xxhash64("a"), F.coalesce("_cells", F.lit(1))).cast("int")
+    celled = cut(pairs.join(_small_side(many), "b", "left").select("a", "b", spread.alias("cell")))
     cells = cut(celled.select("b", "cell").distinct())
     left = texts.withColumnRenamed("id", "a").join(_small_side(celled), "a").select("b", "cell", "a", "text")
     right = texts.withColumnRenamed("id", "b").join(_small_side(cells), "b").select("b", "cell", "text")
@@ -229,13 +234,11 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = tokens.join(labels, "gid").select("token", "gid", "n", "pos", "label")
     mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     rows = cut(rows.join(mixed, "token", "left_semi"))
-    x = rows.select("token", *[F.col(c).alias(f"{c}_x") for c in ("gid", "n", "pos", "label")])
-    y = rows.select("token", *[F.col(c).alias(f"{c}_y") for c in ("gid", "n", "pos", "label")])
     needed = F.expr(f"ceil({SIMILAR} * (n_x + n_y) / {100 + SIMILAR}D - 1e-6)")
     possible = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= needed
     sizes = (100 * F.least("n_x", "n_y") >= SIMILAR * F.greatest("n_x", "n_y")) & possible
-    apart = x.join(y, "token").where((F.col("gid_x") < F.col("gid_y")) & (F.col("label_x") != F.col("label_y")) & sizes)
-    apart = apart.select("gid_x", "gid_y").unionByName(
+    apart = list_pairs(rows).where((F.col("gid_x") != F.col("gid_y")) & (F.col("label_x") != F.col("label_y")) & sizes)
+    apart = apart.select(F.least("gid_x", "gid_y").alias("gid_x"), F.greatest("gid_x", "gid_y").alias("gid_y")).unionByName(
         labels.where("label like '#%'").select(F.col("gid").alias("gid_x"), F.col("gid").alias("gid_y"))
     ).distinct()
     m = labelled.select("gid", "id", "comp", "n")
@@ -254,12 +257,48 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comps = comps.join(final.select(F.col("key").alias("comp"), F.col("comp").alias("component_id")), "comp").select("key", "component_id")
 
     classes = reps.join(comps, reps["id"] == comps["key"]).select("set_id", "component_id")
-    classes = classes.groupBy("set_id").agg(F.min("component_id").alias("component_id"))
-    return sets.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(classes, "set_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+    classes = cut(classes.groupBy("set_id").agg(F.min("component_id").alias("component_id")))
+    return _with_component(sets, classes).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
+def list_pairs(rows: DataFrame) -> DataFrame:
+    """The pairs of every token's rows, once each and in no order; columns get the suffixes _x and _y.
+
+    A list of more than ``BLOCK`` rows is dealt into blocks, and each pair of its blocks is a join key of its
+    own. A row goes to as many keys as its list has blocks.
+    """
+    long = cut(rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")).where("_blocks > 1"))
+    blocks = F.coalesce("_blocks", F.lit(1))
+    dealt = rows.join(_small_side(long), "token", "left").withColumn("_own", F.pmod(F.xxhash64("gid"), blocks).cast("int"))
+    dealt = dealt.withColumn("_last", blocks - 1)
+    own = [c for c in rows.columns if c != "token"]
+
+    def side(name: str, others) -> DataFrame:
+        keys = [F.col("_own"), F.col("_other")] if name == "x" else [F.col("_other"), F.col("_own")]
+        out = dealt.withColumn("_other", F.explode(others))
+        return out.select("token", keys[0].alias("_bx"), keys[1].alias("_by"), *[F.col(c).alias(f"{c}_{name}") for c in own])
+
+    x = side("x", F.sequence(F.col("_own"), F.col("_last")))
+    y = side("y", F.sequence(F.lit(0), F.col("_own")))
+    return x.join(y, ["token", "_bx", "_by"]).where("_bx < _by or gid_x < gid_y")
+
+
+def _with_component(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``sets`` with the component of their set, null where it has none. Hot sets, fewer than ``HOT_SHARE``,
+    are broadcast; rows without words meet nothing."""
+    total = sets.count()
+    often = sets.where("n > 0").groupBy("set_id").agg(F.count("*").alias("_rows")).where(F.col("_rows") * HOT_SHARE > total)
+    often = cut(often.select("set_id"))
+    hot = cut(F.broadcast(often).join(classes, "set_id", "left")).withColumn("_hot", F.lit(True))
+    marked = sets.where("n > 0").join(F.broadcast(hot), "set_id", "left")
+    rest = marked.where("_hot is null").drop("component_id").join(classes, "set_id", "left")
+    names = ["doc_id", "n", "component_id"]
+    bare = sets.where("n = 0").withColumn("component_id", F.lit(None).cast(classes.schema["component_id"].dataType))
+    return marked.where("_hot").select(names).unionByName(rest.select(names)).unionByName(bare.select(names))
+
+
 def _shared(spread: DataFrame) -> DataFrame:
     """The rows of shingles that have another row; rows of salted shingles all stay."""
     dealt = spread.repartition("token", "salt").sortWithinPartitions("token", "salt")
