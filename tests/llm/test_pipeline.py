@@ -88,3 +88,13 @@ def test_stages_of_no_documents(spark, folder, stage):
     assert out.count() == 0
     if stage != corpus_pipeline.STAGES[-1][0]:
         assert out.columns == docs.columns
+
+
+def test_stages_keep_clashing_columns_and_need_no_length(spark, folder):
+    docs = spark.createDataFrame([(1, "password = Xk29fQz81LmVw0", 5), (2, None, 6), (2, None, 6)], "doc_id long, text string, _Toxicity int")
+    kept = corpus_pipeline.not_toxic(spark, docs, folder)
+    assert kept.columns == docs.columns and sorted(r["_Toxicity"] for r in kept.collect()) == [5, 6, 6]
+    clean = corpus_pipeline.without_secrets(spark, docs, folder)
+    assert clean.columns == docs.columns and clean.count() == 3
+    numbered = docs.withColumnRenamed("_Toxicity", "_piece")
+    assert corpus_pipeline.packed(spark, numbered, folder).count() == 3

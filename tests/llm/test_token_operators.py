@@ -120,7 +120,7 @@ def test_packing_frame(spark, libraries):
     docs = [(i if i != 3 else None, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"piece": F.lit("own"), "_group": F.lit(1)})
     pieces = packing.token_pieces(df, tokenizer_path(WORD_BPE), sequence=64)
-    got = packing.pack(pieces, len(docs), capacity=64, group=20).collect()
+    got = packing.pack(pieces, capacity=64, group=20).collect()
     check_bins([r["length"] for r in got], [r["sequence_id"] for r in got], [r["offset"] for r in got], 64)
     for i, t in docs:
         ids = [*libraries[WORD_BPE].encode(t or "", add_special_tokens=False).ids, 0]
@@ -128,7 +128,7 @@ def test_packing_frame(spark, libraries):
         assert [x for r in own for x in r["ids"]] == ids
         assert [r["start"] for r in own] == list(range(0, len(ids), 64))
         assert [r["ids_crc32"] for r in own] == [zlib.crc32(np.array(ids[a : a + 64], "<u4").tobytes()) for a in range(0, len(ids), 64)]
-    assert packing.pack(packing.token_pieces(df.limit(0), tokenizer_path(WORD_BPE)), 0).count() == 0
+    assert packing.pack(packing.token_pieces(df.limit(0), tokenizer_path(WORD_BPE))).count() == 0
 
 
 # --- token files

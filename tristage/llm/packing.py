@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tristage.llm.columns import slices
+from tristage.llm.columns import free_name, slices
 from tristage.llm.tokens import word_tokenizer
+from tristage.session import cut
 
 SEQUENCE = 2048
 GROUP = 20_000
@@ -135,25 +136,26 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return out_bin, out_offset
 
 
-def pack(pieces: DataFrame, n_pieces: int, length_col: str = "length", capacity: int = SEQUENCE, group: int = GROUP) -> DataFrame:
-    """``pieces`` with sequence_id and offset; their other columns stay.
+def pack(pieces: DataFrame, length_col: str = "length", capacity: int = SEQUENCE, group: int = GROUP) -> DataFrame:
+    """``pieces`` with sequence_id and offset; their other columns stay. Lengths are from 1 to ``capacity``.
 
-    ``n_pieces``: about how many there are; it only sets the number of groups.
-    Lengths are from 1 to ``capacity``.
+    The pieces are numbered and written as a table once. The number of groups follows from their count, only
+    numbers and lengths travel into a group, and its places are joined back, so a task's memory depends neither
+    on what else a piece carries nor on how many pieces a document has.
     """
-    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    groups = max(1, -(-n_pieces // group))
-    keys = [c for c in kept if not pieces.schema[c].dataType.simpleString().startswith("map")]
-    pieces = pieces.select(*kept)
+    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    number = free_name("_piece", kept)
+    table = cut(pieces.select(*kept, F.monotonically_increasing_id().alias(number)))
+    groups = max(1, -(-table.count() // group))
     bits = 40  # sequences of a group
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("long"))
-    shape = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        lengths = table.column(length_col).to_numpy().astype(np.int64)
-        number, offset = best_two_fit(lengths, capacity)
-        table = table.drop_columns(["_group"])
-        ids = (key[0].as_py() << bits) + number
-        return table.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("number")  # a task that runs again gives the same places
+        own, offset = best_two_fit(rows.column("length").to_numpy().astype(np.int64), capacity)
+        ids = (key[0].as_py() << bits) + own
+        return pa.table([rows.column("number"), pa.array(ids), pa.array(offset)], names=[number, "sequence_id", "offset"])
 
-    return dealt.groupBy("_group").applyInArrow(run, shape)
+    lengths = table.select(F.col(number).alias("number"), F.col(length_col).alias("length"))
+    dealt = lengths.withColumn("_group", F.pmod(F.xxhash64("number"), F.lit(groups)).cast("long"))
+    places = dealt.groupBy("_group").applyInArrow(run, f"`{number}` long, sequence_id long, offset long")
+    return table.join(places, number).select(*kept, "sequence_id", "offset")

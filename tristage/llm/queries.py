@@ -57,7 +57,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.token_pieces(docs, tokenizer_path(WORD_BPE), with_ids=False)
-    return packing.pack(pieces, docs.count())
+    return packing.pack(pieces)
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
