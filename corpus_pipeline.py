@@ -8,15 +8,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tristage.llm import exact_dedup, jaccard, packing, secrets, toxicity
-from tristage.llm.columns import table
+from tristage.llm.columns import free_name, table
 from tristage.llm.queries import REJECT, WORD_BPE, tokenizer_path, toxicity_network
 from tristage.session import scratch_path
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network rejects go."""
-    scored = toxicity.score(docs, toxicity_network(spark, sf_dir), score_col="_toxicity")
-    return scored.where(F.col("_toxicity") < REJECT).select(*docs.columns)
+    name = free_name("_toxicity", docs.columns)
+    scored = toxicity.score(docs, toxicity_network(spark, sf_dir), score_col=name)
+    return scored.where(F.col(name) < REJECT).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +31,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; the spans reported as secrets leave its text, and n_chars follows."""
+    """Every document stays; the spans reported as secrets leave its text, and n_chars follows where there is one."""
     clean = secrets.redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean.select(*docs.columns)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -39,7 +42,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token sequences: every piece of every document with its ids and its place."""
     # The workers still hold memory of the stages before, so this one keeps fewer words than op4.
     pieces = packing.token_pieces(docs, tokenizer_path(WORD_BPE), cache_words=120_000)
-    return packing.pack(pieces, docs.count())
+    return packing.pack(pieces)
 
 
 STAGES = [
