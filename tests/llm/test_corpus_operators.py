@@ -270,6 +270,29 @@ def test_network_finds_unseen_forms_of_a_stem(network):
     assert rejected[labels].mean() > 0.9 and rejected[~labels].mean() < 0.03
 
 
+def test_words_hold_signs_between_letters():
+    rng = random.Random(0)
+    for _ in range(500):
+        texts = ["".join(rng.choice("ab0$ Z") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 5))] + [None]
+        _, counts, starts, ends, data = toxicity.text_words(pa.array(texts, pa.string()))
+        want = [re.findall(r"[a-zA-Z](?:[0-9$]{0,2}[a-zA-Z])*", t or "") for t in texts]
+        assert [bytes(data[a:b]).decode() for a, b in zip(starts, ends)] == sum(want, [])
+        assert counts.tolist() == [len(w) for w in want]
+
+
+def test_scripts_without_spaces_are_read_in_pieces():
+    texts = ["a b", "\u5b57" * 5000, "", "x" * (toxicity.LONGEST + 1) + " y", "x" * toxicity.LONGEST]
+    hashes, counts, starts, ends, data = toxicity.text_words(pa.array(texts))
+    assert counts.sum() == len(starts) and counts[0] == 2 and counts[1] > 1000 and counts[2] == 0 and counts[4] == 1
+    assert (ends - starts).max() == toxicity.LONGEST
+    own = slice(counts[0], counts[0] + counts[1])  # the pieces of a text cover it, overlapping
+    assert starts[own][0] == 3 and ends[own][-1] == 3 + 15_000 and (starts[own][1:] < ends[own][:-1]).all()
+    assert len(toxicity.Words(pa.array(texts)).window_row) > 1000 // toxicity.STRIDE
+    # A piece is the word of the same bytes.
+    at = counts[0] + counts[1]
+    assert hashes[at] == toxicity.text_words(pa.array(["x" * toxicity.PIECE]))[0][0]
+
+
 def test_gradients_are_those_of_the_loss():
     net = toxicity.Network({k: v.astype(np.float64) for k, v in toxicity.Network.fresh().w.items()})
     own = toxicity.Words(pa.array(["some words here and there " * 9, "short", "the end of it " * 20]))

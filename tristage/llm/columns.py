@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -74,15 +74,16 @@ IS_SPACE[[ord(c) for c in SPACES]] = True
 WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def words(column: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(column: pa.Array, inside: np.ndarray | Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, words per row, starts, ends, bytes) of the runs of bytes for which ``inside`` is true.
 
+    ``inside``: a flag per byte value, or a function of the bytes and the rows' offsets that gives one per byte.
     A-Z count as a-z. A word's 64-bit hash is a polynomial over a random value per byte; two different
     words meet with a probability of about 2^-64.
     """
     data, offsets = utf8(column)
     n = len(data)
-    member = inside[data]
+    member = inside(data, offsets) if callable(inside) else inside[data]
     begins, finishes = member.copy(), member.copy()
     begins[1:] &= ~member[:-1]
     finishes[:-1] &= ~member[1:]

@@ -1,7 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A text's words (runs of letters) are read in overlapping windows. A word enters the network as a word
-vector plus the vectors of its character n-grams, so unseen forms of a known stem still speak. Two
+A text's words (runs of letters; digits and signs between two letters belong to them, as in "l0ser") are
+read in overlapping windows. A run of more than ``LONGEST`` bytes, such as a text in a script without spaces,
+is read as overlapping pieces of ``PIECE`` bytes, so its windows are no longer than others. A word enters the
+network as a word vector plus the vectors of its character n-grams, so unseen forms of a known stem still speak. Two
 gated recurrent layers read a window in both directions, attention weighs their states, and the
 pooled state gives the window's logit. A text scores as its worst window.
 
@@ -26,7 +28,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tristage.llm.columns import BYTE_VALUES, WORD_BASE, mix64, slices, words
 
 MAX_ROWS = 1500
-MAX_CHARS = 100_000
+MAX_CHARS = 32_000  # with MAX_ROWS, under 100 MB of text to fit on; longer texts are still scored whole
 WINDOW, STRIDE = 32, 16
 WORD_SLOTS, GRAM_SLOTS = 1 << 14, 1 << 16
 GRAMS = (3, 4, 5, 6)
@@ -41,6 +43,51 @@ SEED = 7
 LETTERS = np.zeros(256, bool)
 LETTERS[128:] = True
 LETTERS[[*range(65, 91), *range(97, 123)]] = True
+SIGNS = np.zeros(256, bool)
+SIGNS[[ord(c) for c in "0123456789$!*+"]] = True
+LONGEST, PIECE, STEP = 64, 24, 12  # bytes
+
+
+def _word_bytes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which bytes are in words: letters, and one or two signs between letters of the same text."""
+    letter, sign = LETTERS[data], SIGNS[data]
+    member, edges = letter.copy(), offsets[1:-1]
+    for gap in (2, 3):
+        if len(data) <= gap:
+            break
+        held = letter[:-gap] & letter[gap:]
+        for i in range(1, gap):
+            held &= sign[i : len(data) - gap + i]
+        for i in range(1, gap + 1):  # both letters are of one text
+            over = edges - i
+            held[over[(over >= 0) & (over < len(held))]] = False
+        for i in range(1, gap):
+            member[i : len(data) - gap + i] |= held
+    return member
+
+
+def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, words per row, starts, ends, bytes) of a text column's words, long ones in pieces."""
+    hashes, counts, starts, ends, data = words(column, _word_bytes)
+    sizes = ends - starts
+    if not (sizes > LONGEST).any():
+        return hashes, counts, starts, ends, data
+    pieces = np.where(sizes > LONGEST, 1 + -(-(sizes - PIECE) // STEP), 1)
+    place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    whole = np.repeat(pieces == 1, pieces)
+    starts = np.repeat(starts, pieces) + place * STEP
+    ends = np.where(whole, np.repeat(ends, pieces), np.minimum(starts + PIECE, np.repeat(ends, pieces)))
+    hashes = np.repeat(hashes, pieces)
+    cut_up = np.flatnonzero(~whole)
+    code, power = np.zeros(len(cut_up), np.uint64), np.uint64(1)
+    with np.errstate(over="ignore"):
+        for i in range(PIECE):
+            at = starts[cut_up] + i
+            there = at < ends[cut_up]
+            code[there] += BYTE_VALUES[data[at[there]]] * power
+            power = power * WORD_BASE
+    hashes[cut_up] = mix64(code)
+    return hashes, np.add.reduceat(np.append(pieces, 0), np.cumsum(counts) - counts) * (counts > 0), starts, ends, data
 
 
 def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +128,7 @@ class Words:
     """The distinct words of some texts, their inputs, and the windows over them."""
 
     def __init__(self, column: pa.Array):
-        hashes, counts, starts, ends, data = words(column, LETTERS)
+        hashes, counts, starts, ends, data = text_words(column)
         distinct, at, self.ids = np.unique(hashes, return_index=True, return_inverse=True)
         self.n, self.rows, self.counts = len(distinct), len(counts), counts
         self.word_slots = (distinct % np.uint64(WORD_SLOTS)).astype(np.int64)
