@@ -19,6 +19,12 @@ def table_hash(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def other_order(df: DataFrame) -> DataFrame:
+    """The same rows dealt anew by their first column, in tasks of about the advisory size, however many rows
+    there are or share a value."""
+    return df.hint("rebalance", F.col(df.columns[0]))
+
+
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """(file, size, sha256) per file of any size below ``path``."""
     return file_hashes(spark, path, "sha256", "[!._]*").withColumnRenamed("hash", "sha256")
