@@ -171,3 +171,11 @@ def test_null_groups_are_groups(spark):
     rows = [(None, 0.9, 1), (None, 0.1, 0), ("g", 0.8, 0), ("g", 0.7, 1)]
     out = M.average_precision(spark.createDataFrame(rows, "g string, score double, y int"), ["g"]).collect()
     assert {r["g"]: (r["n_rows"], r["pr_auc"]) for r in out} == {None: (2, 1.0), "g": (2, 0.5)}
+
+
+def test_multiplicities_take_a_byte_unless_a_group_is_drawn_more_often(monkeypatch):
+    got = S._multiplicities("7:f", 3, 2, 500)
+    want = [Counter(int.from_bytes(hashlib.sha256(f"7:f:{r}:{i}".encode()).digest()[:8], "big") % 500 for i in range(500)) for r in (3, 4)]
+    assert got.dtype.itemsize == 1 and got.T.tolist() == [[c[i] for i in range(500)] for c in want]
+    monkeypatch.setattr(S, "sha256", lambda x: hashlib.sha256(b"the same"))
+    assert sorted(S._multiplicities("7:f", 3, 2, 500)[:, 1].tolist())[-2:] == [0, 500]
