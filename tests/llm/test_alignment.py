@@ -141,6 +141,24 @@ def test_long_one_to_one_stretches_take_few_comparisons():
     assert not last_a[7] and last_a.sum() == len(ends) - 1 and last_b.all()
 
 
+def test_short_one_to_one_stretches_are_compared_without_slices():
+    slices = []
+
+    class Raw(bytes):
+        def __getitem__(self, at):
+            slices.append(at)
+            return bytes.__getitem__(self, at)
+
+    class Ends(np.ndarray):
+        def tobytes(self):
+            return Raw(np.ndarray.tobytes(self))
+
+    ends = np.arange(1, 501)
+    other = np.delete(ends, np.arange(3, 499, 5))  # stretches of three or four between groups of two to one
+    last_a, last_b = alignment.align(ends.view(Ends), other.view(Ends))
+    assert last_a.tolist() == np.isin(ends, other).tolist() and last_b.all() and not slices
+
+
 @pytest.mark.parametrize("held", [1 << 21, 40, 0])
 def test_corpus_counts(spark, paths, library, held):
     texts = odd_texts(300, 3) + ["the cat sat", "the cat sat", None, "", "a " * 4000, "▁", "x"]

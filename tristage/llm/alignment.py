@@ -23,6 +23,7 @@ import functools
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,7 +97,7 @@ class Vocabularies:
         data = b" " + text.encode()
         if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
             return None
-        return np.array(a, "<u2").tobytes(), np.array(b, "<u2").tobytes()
+        return struct.pack(f"<{len(a)}H", *a), struct.pack(f"<{len(b)}H", *b)
 
     def _learn(self, words: list[str]) -> None:
         """Ids of pieces; nothing for those that don't stand by themselves."""
@@ -137,40 +138,53 @@ def vocabularies(a_path: str, b_path: str) -> Vocabularies:
     return Vocabularies(a_path, b_path)
 
 
+NEAR = 8  # tokens of a stretch compared one by one
+
+
 def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each token of A and of B is the last one of its group.
 
-    Both arrays rise and have the same last value.
+    Both arrays rise and have the same last value. The first ``NEAR`` tokens of a stretch are compared one by
+    one, as most stretches are short; probing goes on from there.
     """
     last_a, last_b = np.zeros(len(ends_a), bool), np.zeros(len(ends_b), bool)
     a, b = ends_a.tolist(), ends_b.tolist()
     raw_a, raw_b = ends_a.tobytes(), ends_b.tobytes()
     width, n_a, n_b = ends_a.itemsize, len(a), len(b)
-    skipped, sizes, close_a, close_b = [], [], [], []
+    a.append(-1)  # behind the ends nothing is equal
+    b.append(-2)
+    first_a, first_b, sizes, close_a, close_b = [], [], [], [], []
     i = j = 0
     while i < n_a:
         x, y = a[i], b[j]
         if x == y:
-            k = step = 1
-            most = min(n_a - i, n_b - j)
-            while k < most:
-                step = min(step, most - k)
-                p, q = (i + k) * width, (j + k) * width
-                if raw_a[p : p + step * width] != raw_b[q : q + step * width]:
+            p, q, near = i + 1, j + 1, i + NEAR
+            while a[p] == b[q]:
+                p += 1
+                q += 1
+                if p == near:
+                    k = step = NEAR
+                    most = min(n_a - i, n_b - j)
+                    while k < most:
+                        step = min(step, most - k)
+                        p, q = (i + k) * width, (j + k) * width
+                        if raw_a[p : p + step * width] != raw_b[q : q + step * width]:
+                            break
+                        k += step
+                        step *= 2
+                    else:
+                        step = 1
+                    while step > 1:
+                        step //= 2
+                        p, q = (i + k) * width, (j + k) * width
+                        if raw_a[p : p + step * width] == raw_b[q : q + step * width]:
+                            k += step
+                    p, q = i + k, j + k
                     break
-                k += step
-                step *= 2
-            else:
-                step = 1
-            while step > 1:
-                step //= 2
-                p, q = (i + k) * width, (j + k) * width
-                if raw_a[p : p + step * width] == raw_b[q : q + step * width]:
-                    k += step
-            skipped.append((i, j))
-            sizes.append(k)
-            i += k
-            j += k
+            first_a.append(i)
+            first_b.append(j)
+            sizes.append(p - i)
+            i, j = p, q
             continue
         while x != y:
             if x < y:
@@ -186,10 +200,10 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     last_a[close_a] = True
     last_b[close_b] = True
     if sizes:
-        first, size = np.array(skipped), np.array(sizes)
+        size = np.array(sizes)
         along = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        last_a[np.repeat(first[:, 0], size) + along] = True
-        last_b[np.repeat(first[:, 1], size) + along] = True
+        last_a[np.repeat(first_a, size) + along] = True
+        last_b[np.repeat(first_b, size) + along] = True
     return last_a, last_b
 
 
