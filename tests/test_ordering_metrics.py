@@ -11,7 +11,7 @@ from tristage.functions.numeric import hypergeometric_cdf, two_sided_p
 from tristage.operators import metrics as M
 from tristage.operators import ordering as O
 from tristage.operators import stats as S
-from tristage.operators.ordering import dense_index, exact_quantiles, running
+from tristage.operators.ordering import dense_index, exact_quantiles, join_groups, running
 
 
 @pytest.mark.parametrize("partitions", [1, 7])
@@ -152,6 +152,47 @@ def test_bootstrap_is_that_of_rows_drawn_one_by_one(spark, n_buckets, monkeypatc
         assert found[key][0] == pytest.approx(value) and found[key][1] == pytest.approx(lift)
 
 
+def test_other_seeds_are_drawn_only_where_the_class_depends_on_them(spark):
+    rnd = random.Random(3)
+    rows = []
+    for fold, pull in (("clear", 0.6), ("noise", 0.0), (None, 0.6)):
+        for i in range(120):
+            y = int(rnd.random() < 0.4)
+            rows.append((fold, "up", i, i // 2, y, rnd.random() + pull * y))
+            rows.append((fold, "flat", i, i // 2, y, rnd.random()))
+    df = spark.createDataFrame(rows, "fold string, run string, id int, g int, y int, score double")
+    seeds, own = [4, 5, 6], ["fold", "run"]
+
+    def found(asked=None):
+        got = S.fold_intervals(df, "g", ["fold"], 40, seeds, run="run", asked=asked).collect()
+        return {(r["fold"], r["run"]): (r["lo"], r["hi"], r["effect_class"], r["n_seeds"]) for r in got}
+
+    cis = S.percentile_ci(S.cluster_bootstrap(df, "g", 40, seeds, ["fold"], run="run"), [*own, "seed"])
+    first = join_groups(cis.where("seed = 4").select(*own, "lo", "hi"), S.seed_stability(cis, own), own)
+    point = M.average_precision(df, own).select(*own, F.col("pr_auc_over_base").alias("point"))
+    want = S.classify(join_groups(first, point, own)).collect()
+    got = found()
+    assert len(got) == len(want) == 6
+    for r in want:
+        lo, hi, name, _ = got[r["fold"], r["run"]]
+        assert (lo, hi) == (pytest.approx(r["lo"]), pytest.approx(r["hi"])) and name == r["effect_class"]
+    assert {k: v[3] for k, v in got.items()} == {(r["fold"], r["run"]): 1 if r["crosses_1"] else 3 for r in want}
+    assert {v[3] for v in got.values()} == {1, 3}
+    main = found(lambda iv: iv.where("run = 'up' and not crosses_1"))
+    assert {k: v[3] for k, v in main.items()} == {k: v[3] if k[1] == "up" else 1 for k, v in got.items()}
+    assert {v[3] for v in found(lambda iv: iv.where("false")).values()} == {1}
+
+
+def test_blocks_of_large_and_small_keys_take_about_the_same_draws(spark):
+    sizes = spark.createDataFrame([("large", 100_000), ("small", 500), ("one", 1)], "fold string, n_groups long")
+    blocks, n = S._in_blocks(sizes, 2000, 5)
+    got = {r["fold"]: r["block"] for r in blocks.collect()}
+    slots = S.BLOCKS * spark.sparkContext.defaultParallelism
+    assert got["large"] * 100_000 <= 1.1 * 100_501 * 10_000 / slots + 100_000
+    assert got["small"] == got["one"] == S.REPS and n == 5 * (-(-2000 // got["large"]) + 20)
+    assert S._in_blocks(sizes.where("false"), 2000, 5)[1] == 0
+
+
 def test_bootstrap_of_no_rows(spark):
     empty = spark.createDataFrame([], "id int, g int, y int, score double")
     assert S.cluster_bootstrap(empty, "g", 5, [1]).count() == 0
