@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 from tools.check import compare, duck
+from tristage.operators import metrics
 from tristage.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +32,9 @@ def test_intervals_come_from_2000_replicates_of_five_seeds(spark):
     got = {r["seed"]: r["n_draws"] for r in QUERIES["bootstrap_intervals"](spark, SF).collect()}
     assert sorted(got) == [20260930 + 10007 * i for i in range(5)]
     assert all(1900 < n <= 2000 for n in got.values())  # replicates of one class are left out
+
+
+def test_ablation_counts_the_cells_of_both_variants_once(spark, monkeypatch):
+    calls, plain = [], metrics.cells
+    monkeypatch.setattr(metrics, "cells", lambda *a: calls.append(1) or plain(*a))
+    assert QUERIES["ablation_difference"](spark, SF).first()["n_cells"] > 0 and len(calls) == 1
